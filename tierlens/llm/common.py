@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a numpy kernel works on at once; a longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
+_LOCAL: dict[str, str] = {}
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -33,8 +34,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tierlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tierlens-"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

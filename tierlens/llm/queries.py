@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, langid, piece_fst
+from . import digest, exact_dedup, langid, mixing, ngram_join, piece_fst
+from .common import shared_dir
 
 #: Default place of the public SentencePiece model; executors read it, so it is a path on every host.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -33,6 +34,31 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_fst.tokenise(docs, PIECE_MODEL).select("doc_id", "ids", "n_tokens", "round_trip")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_sentencepiece)}
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.pairs(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingests the half of smaller ids, then the rest against the index that this left; returns the index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = exact_dedup.DigestIndex(spark, shared_dir(spark, "digest-index"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    index.ingest(docs.where((F.col("doc_id") <= middle) | F.col("doc_id").isNull()))
+    index.ingest(docs.where(F.col("doc_id") > middle))
+    return index.table().select("doc_id", F.lower(F.hex("digest")).alias("digest"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "tier")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op8_mixing)
+}
+
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": "select min(doc_id) as doc_id, sha256(text) as digest from documents where text is not null group by text",
+    "op8_mixing": mixing.ORACLE,
+}
