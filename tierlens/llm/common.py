@@ -74,3 +74,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Bytes of ASCII white space, and line ends.
+WHITE, NEWLINE = (np.isin(np.arange(256), x) for x in ([9, 10, 11, 12, 13, 32], [10]))
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out) if n else out
+
+
+def parts(raw: np.ndarray, at: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes, offsets) of the runs of each text's bytes that lie between those of *between*.
+
+    The hash of bytes i..j is the sum of (byte + 1) * odd**k, divided by
+    odd**i, modulo 2**64, and then mixed with the length.
+    """
+    inside = ~between[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    starts = np.flatnonzero(first)
+    inside[:-1] &= ~inside[1:] | edge[1:-1]
+    ends = np.flatnonzero(inside) + 1
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, len(raw)), out=sums[1:])
+    hashes = mix64((sums[ends] - sums[starts]) * _powers(_INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64))
+    return hashes, np.searchsorted(starts, at)

@@ -1,0 +1,182 @@
+"""PII: regular expressions propose spans, checksums confirm them, context words move the score.
+
+All patterns need a digit or an at sign, so the expressions run on those texts
+alone that hold one; which they are shows in one vector scan.  Whole texts are
+searched, in one Arrow pass without a shuffle.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import flat, slices
+
+#: Spans that score less aren't reported; characters on each side in which context words count, and what they add.
+THRESHOLD, WINDOW, BOOST, DAMP = 0.5, 60, 0.25, 0.3
+
+
+def luhn(digits: str) -> bool:
+    """Whether the last digit is the check digit that the Luhn sum asks for; the digits must not all be the same."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0 and len(set(digits)) > 1
+
+
+def mod97(iban: str) -> bool:
+    """ISO 7064 check of an IBAN without spaces."""
+    moved = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+#: Lengths by country of the IBAN registry, for the countries that the pattern may start with.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
+
+
+def _iban(text: str) -> bool:
+    packed = text.replace(" ", "")
+    return len(packed) == IBAN_LENGTHS.get(packed[:2]) and mod97(packed)
+
+
+def _card(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return 13 <= len(digits) <= 19 and luhn(digits)
+
+
+def _octets(text: str) -> bool:
+    parts = text.split(".")
+    return all(int(p) <= 255 and (p == "0" or p[0] != "0") for p in parts) and parts[0] != "0"
+
+
+def _ssn(text: str) -> bool:
+    area, group, serial = text.split("-")
+    return area not in ("000", "666") and area[0] != "9" and group != "00" and serial != "0000"
+
+
+def _phone(text: str) -> bool:
+    return 8 <= len(re.sub(r"\D", "", text)) <= 15
+
+
+def _random(text: str) -> bool:
+    """A digit, and over 2.5 bits of entropy a character, as random hex and base64 have."""
+    counts = Counter(text)
+    return any(c.isdigit() for c in text) and -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values()) > 2.5
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A kind of PII: base score, what a passed checksum adds, whether a failed one rejects, and context words."""
+
+    name: str
+    pattern: re.Pattern
+    base: float
+    check: Callable[[str], bool] | None
+    passed: float
+    for_: frozenset[str]
+    against: frozenset[str]
+    group: int = 0
+
+
+def _kind(name, pattern, base, check, passed, for_, against="", group=0):
+    return Kind(name, re.compile(pattern), base, check, passed, frozenset(for_.split()), frozenset(against.split()), group)
+
+
+KINDS = (
+    _kind("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])", 0.9, None, 0, "email mail e-mail contact correo courriel kontakt"),
+    _kind("card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d]|\.\d)", 0.2, _card, 0.6, "card credit visa mastercard amex tarjeta carte kreditkarte", "isbn tracking order"),
+    _kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,27}(?![A-Za-z0-9])", 0.2, _iban, 0.7, "iban account bank konto cuenta compte swift bic"),
+    _kind("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", 0.4, _ssn, 0.2, "ssn social security", "isbn order part"),
+    _kind("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", 0.3, _octets, 0.35, "ip address host server adresse direccion", "version release v section"),
+    _kind("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", 0.4, _phone, 0.25, "phone tel telephone call mobile fax telefon telefono telephone", "isbn order version"),
+    _kind("secret", r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9_+/=-]{16,128})(?![A-Za-z0-9_+/=-])", 0.4, _random, 0.4, "", "example placeholder", 1),
+    _kind("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", 0.4, _random, 0.4, "", "example placeholder"),
+)
+_NEEDS = np.zeros(256, bool)
+_NEEDS[[*range(48, 58), 64]] = True
+_WORD = re.compile(r"[\w-]+")
+
+
+def spans(text: str) -> list[tuple[int, int, str, float, bool]]:
+    """(start, end, kind, score, confirmed) of one text, in code points from 0 and end excluded, by start.
+
+    A proposal whose checksum fails goes.  Words within the window before and
+    after, without the span, add or take once each way; scores lie in 0 to 1
+    and are rounded to two places.  Of overlapping spans the one of the higher
+    score stays, on ties the longer, then the earlier, then the kind listed first.
+    """
+    found = []
+    for rank, kind in enumerate(KINDS):
+        for m in kind.pattern.finditer(text):
+            start, end = m.span(kind.group)
+            value = text[start:end]
+            if kind.check is not None and not kind.check(value):
+                continue
+            score = kind.base + (kind.passed if kind.check else 0)
+            near = {w.lower() for w in _WORD.findall(text[max(0, start - WINDOW) : start]) + _WORD.findall(text[end : end + WINDOW])}
+            score = min(1.0, max(0.0, score + BOOST * bool(near & kind.for_) - DAMP * bool(near & kind.against)))
+            if score >= THRESHOLD:
+                found.append((-round(score, 2), start - end, start, rank, end, kind))
+    taken: list[tuple[int, int, str, float, bool]] = []
+    for score, _, start, _, end, kind in sorted(found, key=lambda x: x[:4]):
+        if not any(start < e and s < end for s, e, *_ in taken):
+            taken.append((start, end, kind.name, -score, kind.check is not None))
+    return sorted(taken)
+
+
+def _detect(texts: pa.Array) -> pa.Array:
+    starts, ends, kinds, scores, confirmed, at = [], [], [], [], [], [0]
+    for part in slices(texts):
+        raw, cut = flat(part)
+        hits = np.concatenate([[0], np.cumsum(_NEEDS[raw])])
+        for i, n in enumerate((hits[cut[1:]] - hits[cut[:-1]]).tolist()):
+            if n:
+                for s, e, kind, score, ok in spans(part[i].as_py()):
+                    starts.append(s)
+                    ends.append(e)
+                    kinds.append(kind)
+                    scores.append(score)
+                    confirmed.append(ok)
+            at.append(len(starts))
+    row = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.string()), pa.array(scores, pa.float64()), pa.array(confirmed, pa.bool_())], names=["start", "end", "kind", "score", "confirmed"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), row)
+
+
+def detect(text: Column) -> Column:
+    """Array of spans (see :func:`spans`) for a text column; no spans for null and empty texts."""
+    return F.arrow_udf(_detect, "array<struct<start:int,end:int,kind:string,score:double,confirmed:boolean>>")(text)
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, kind, start, end, score, confirmed): one row for each span; rows of *docs* that repeat give theirs again."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(detect(F.col(text))).alias("s")).select("doc_id", "s.kind", "s.start", "s.end", "s.score", "s.confirmed")
+
+
+def redact(text: Column) -> Column:
+    """The text with every span replaced by its kind in brackets; null stays null."""
+
+    def one(t: str) -> str:
+        out, at = [], 0
+        for s, e, kind, *_ in spans(t):
+            out += [t[at:s], f"[{kind}]"]
+            at = e
+        return "".join(out) + t[at:]
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else one(t) for part in _parts(texts) for t in part], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
+def _parts(texts: pa.Array) -> Iterator[list]:
+    for part in slices(texts):
+        yield part.to_pylist()

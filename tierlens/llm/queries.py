@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, exact_dedup, langid, mixing, ngram_join, piece_fst
+from . import cotrain, ctw, digest, exact_dedup, htmltext, langid, mixing, ngram_join, pii, piece_fst
 from .common import shared_dir
 
 #: Default place of the public SentencePiece model; executors read it, so it is a path on every host.
@@ -49,13 +49,29 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.table().select("doc_id", F.lower(F.hex("digest")).alias("digest"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "tier")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "code_bits", "bits_per_byte")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.visible_text(table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op8_mixing)
+    for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op6_pii, op7_quality, op8_mixing, op9_lm_score, op10_html)
 }
 
 ORACLES: dict[str, str] = {
