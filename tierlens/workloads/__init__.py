@@ -1,6 +1,6 @@
 """The benchmark suites, on the tables at hand."""
 
-from . import tpch
+from . import forum, jsonfeed, tpch, webhits
 
-QUERIES = {**tpch.QUERIES}
-ORACLES = {k: q.oracle for k, q in QUERIES.items() if hasattr(q, "oracle")}
+QUERIES = {**tpch.QUERIES, **webhits.QUERIES, **forum.QUERIES, **jsonfeed.QUERIES}
+ORACLES = {k: q.oracle for k, q in QUERIES.items() if hasattr(q, "oracle")} | jsonfeed.ORACLES
