@@ -1,6 +1,6 @@
 """The benchmark suites, on the tables at hand."""
 
-from . import forum, jsonfeed, tpch, webhits
+from . import caching, forum, jsonfeed, operators, tpch, webhits
 
-QUERIES = {**tpch.QUERIES, **webhits.QUERIES, **forum.QUERIES, **jsonfeed.QUERIES}
-ORACLES = {k: q.oracle for k, q in QUERIES.items() if hasattr(q, "oracle")} | jsonfeed.ORACLES
+QUERIES = {**tpch.QUERIES, **webhits.QUERIES, **forum.QUERIES, **jsonfeed.QUERIES, **operators.QUERIES, **caching.QUERIES}
+ORACLES = {k: q.oracle for k, q in QUERIES.items() if hasattr(q, "oracle")} | jsonfeed.ORACLES | operators.ORACLES | caching.ORACLES
