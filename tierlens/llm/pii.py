@@ -158,7 +158,9 @@ def detect(text: Column) -> Column:
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, score, confirmed): one row for each span; rows of *docs* that repeat give theirs again."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(detect(F.col(text))).alias("s")).select("doc_id", "s.kind", "s.start", "s.end", "s.score", "s.confirmed")
+    # explode() would add a filter on the array's size, for which the function runs a second time.
+    spans_ = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(detect(F.col(text))).alias("s")).where("s is not null")
+    return spans_.select("doc_id", "s.kind", "s.start", "s.end", "s.score", "s.confirmed")
 
 
 def redact(text: Column) -> Column:
