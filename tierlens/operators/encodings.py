@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, strings
+from ..sources import shared
 
 BATCH_ROWS = 8192
 
@@ -90,10 +91,14 @@ def linear_model(df: DataFrame, value: str) -> DataFrame:
 def dictionary(df: DataFrame, value: str) -> DataFrame:
     """Adds ``code``, the value's number among the distinct values in byte order from 0, its 7-byte ``prefix`` in hex, and ``size`` (its bytes, 255 for that many or more).
 
-    The dictionary is built from the distinct values; only those are numbered.
+    The dictionary is built from the distinct values, which are numbered range by range.
     """
-    distinct = df.where(F.col(value).isNotNull()).select(value).distinct()
-    codes = distinct.select(value, (F.row_number().over(W.orderBy(value)) - 1).cast("bigint").alias("code"))
+    distinct = shared.stored(df.where(F.col(value).isNotNull()).select(value).distinct().repartitionByRange(value).withColumn("part", F.spark_partition_id()), "dictionary")
+    # Numbered within the ranges, each from where the ranges before it end: no task sees all values.
+    sizes = distinct.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("start"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(value)) - 1
+    codes = distinct.withColumn("place", place).join(F.broadcast(before), "part").select(value, (F.col("start") + F.col("place")).cast("bigint").alias("code"))
     out = df.join(codes, value, "left")
     return out.withColumns({"prefix": strings.prefix(F.col(value)), "size": F.least(F.octet_length(value), F.lit(255)).cast("bigint")})
 
@@ -101,7 +106,7 @@ def dictionary(df: DataFrame, value: str) -> DataFrame:
 def clamp(df: DataFrame) -> DataFrame:
     """Adds ``sentinel`` and ``clamped``: offsets that don't fit half the width become the sentinel; columns narrower than 8 bits keep theirs (null sentinel)."""
     sentinel = F.when(F.col("width") >= 8, F.expr("shiftleft(1L, cast(greatest(width div 2, 1) as int)) - 1"))
-    return df.withColumn("sentinel", sentinel).withColumn("clamped", F.when(F.col("sentinel").isNull(), F.col("off")).otherwise(F.least("off", "sentinel")))
+    return df.withColumn("sentinel", sentinel).withColumn("clamped", F.when(F.col("sentinel").isNull() | F.col("off").isNull(), F.col("off")).otherwise(F.least("off", "sentinel")))
 
 
 def quantize(df: DataFrame) -> DataFrame:
@@ -109,7 +114,8 @@ def quantize(df: DataFrame) -> DataFrame:
     facts = df.groupBy("batch").agg(F.max("off").alias("top_off"))
     out = df.join(facts, "batch").withColumn("buckets", F.expr("shiftleft(1L, cast(greatest(width div 2, 1) as int))"))
     out = out.withColumn("step", F.expr("(top_off + 1 + buckets - 1) div buckets"))
-    return out.withColumn("bucket", F.least(F.expr("off div step"), F.col("buckets") - 1)).drop("top_off", "buckets")
+    bucket = F.when(F.col("off").isNotNull(), F.least(F.expr("off div step"), F.col("buckets") - 1))
+    return out.withColumn("bucket", bucket).drop("top_off", "buckets")
 
 
 def alp_integer(value: Column, places: int) -> Column:
