@@ -6,10 +6,11 @@ down to ``depth``; a context's decisions are coded by the Krichevsky-Trofimov
 estimate, and every context weighs "stop here" against "look one byte further
 back" by half each (Willems, Shtarkov and Tjalkens).  All counts of all depths
 follow from the counts of (depth + 1)-grams, so the corpus is read once for
-these, combined within each task before the shuffle.  The trees are relational:
-one aggregation a depth going up, one join a depth coming down.  The result is
-the code length of every gram of the corpus, from which documents are scored
-without a shuffle.
+these, combined within each task before the shuffle.  Grams that share their
+last two context bytes hold the whole of the trees from there on, which one
+task computes; of the two depths above there are at most 65,280 and 255
+contexts, which are aggregated and sent to all.  The result is the code length
+of every gram of the corpus, from which documents are scored without a shuffle.
 
 With three bytes of context there are at most 2**32 grams, and some ten
 million in real text; up to ``broadcast_grams`` their code lengths travel to
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flat, fresh, slices, stored
@@ -81,20 +82,76 @@ def gram_counts(docs: DataFrame, text: str = "text", depth: int = DEPTH) -> Data
     return docs.select(text).mapInArrow(_count(depth), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _lgamma(x: Column) -> Column:
+def _lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x >= 0.5: Stirling's series eight further up."""
     z = x + 8
-    low = x
-    for k in range(1, 8):
-        low = low * (x + k)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - F.log(low)
+    low = np.multiply.reduce([x + k for k in range(8)])
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(low)
 
 
-def _kt(n0: Column, n1: Column) -> Column:
+def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log probability of any one order of n0 zeros and n1 ones under the Krichevsky-Trofimov estimate."""
     return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
+def weigh(n0: np.ndarray, n1: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log weighted probability, posterior weight of stopping, chance of a one) of contexts, given the sum of their deeper ones' log weighted probabilities."""
+    own = kt(n0, n1)
+    return np.logaddexp(own, deeper) - math.log(2), 1 / (1 + np.exp(np.minimum(deeper - own, 700))), (n1 + 0.5) / (n0 + n1 + 1)
+
+
+def _steps(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tree node, bit) of the eight decisions of each gram's last byte [8, grams]."""
+    byte = code & 255
+    j = np.arange(8)[:, None]
+    return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
+
+
+def _deep(depth: int):
+    """Rows of (code, n), whole groups of the same two last context bytes together -> chances below depth two, and the contexts of depth two."""
+
+    def solve(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        node, bit = _steps(code)
+        keys, at = np.unique((((code >> 8) << 8)[None, :] | node).ravel(), return_inverse=True)
+        weight = np.broadcast_to(n, node.shape).ravel().astype(float)
+        ones = np.bincount(at, weight * bit.ravel(), len(keys))
+        zeros = np.bincount(at, weight, len(keys)) - ones
+        chance = ((ones + 0.5) / (zeros + ones + 1))[at]
+        pw = kt(zeros, ones)
+        for d in range(depth - 1, 1, -1):
+            keys, up = np.unique(keys & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            zeros, ones, deeper = (np.bincount(up, x, len(keys)) for x in (zeros, ones, pw))
+            pw, stop, q = weigh(zeros, ones, deeper)
+            at = up[at]
+            chance = stop[at] * q[at] + (1 - stop[at]) * chance
+        g, m = len(code), len(keys)
+        ends = np.concatenate([np.arange(g + 1) * 8, np.full(m, 8 * g)]).astype(np.int32)
+        none = np.concatenate([np.zeros(g, bool), np.ones(m, bool)])
+        fill = lambda x, kind: pa.array(np.concatenate([np.zeros(g), x]).astype(kind), mask=~none)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([code, np.zeros(m, np.int64)]), mask=none), pa.ListArray.from_arrays(pa.array(ends), pa.array(chance.reshape(8, g).T.ravel()))]
+            + [fill(keys >> 8, np.int32), fill(keys & 255, np.int32), fill(zeros, np.int64), fill(ones, np.int64), fill(pw, float)],
+            names=["code", "chances", "ctx", "node", "n0", "n1", "pw"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()]))
+            if sum(x.shape[1] for x in held) >= 200_000:
+                rows = np.concatenate(held, 1)
+                group = (rows[0] >> 8) & 0xFFFF
+                cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
+                if cut:
+                    yield solve(rows[0, :cut], rows[1, :cut])
+                held = [rows[:, cut:]]
+        if held and sum(x.shape[1] for x in held):
+            rows = np.concatenate(held, 1)
+            yield solve(rows[0], rows[1])
+
+    return run
+
+
 def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(code, bits): code length of a gram's last byte after the others, given the counts of all grams.
 
@@ -102,31 +159,35 @@ def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     (1 - w) * that of the next deeper context``, w being the posterior weight
     of stopping; at full depth it is the estimate itself.
     """
-    bit = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    steps = counts.select("code", "n", bit.alias("j")).withColumns(
-        {
-            "ctx": F.shiftright("code", 8),
-            "node": F.expr("cast(shiftleft(1L, j) | shiftright(code & 255, 8 - j) as int)"),
-            "bit": F.expr("cast(shiftright(code & 255, 7 - j) & 1 as int)"),
-        }
-    )
-    n1 = F.sum(F.col("n") * F.col("bit"))
-    level = stored(steps.groupBy("ctx", "node").agg((F.sum("n") - n1).alias("n0"), n1.alias("n1")).withColumn("pw", _kt(F.col("n0"), F.col("n1"))), "ctw-leaf")
-    chance = level.select("ctx", "node", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("p"))
-    for d in range(depth - 1, -1, -1):
-        mask = F.lit((1 << 8 * d) - 1)
-        up = level.groupBy(F.col("ctx").bitwiseAND(mask).alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("deeper"))
-        up = up.withColumn("own", _kt(F.col("n0"), F.col("n1")))
-        most = F.greatest("own", "deeper")
-        up = up.withColumn("pw", most + F.log(F.exp(F.col("own") - most) + F.exp(F.col("deeper") - most)) - math.log(2)).withColumn("w", 1 / (1 + F.exp(F.least(F.col("deeper") - F.col("own"), F.lit(700.0)))))
-        level = stored(up.select("ctx", "node", "n0", "n1", "pw", "w"), f"ctw-{d}")
-        here = level.select(F.col("ctx").alias("c"), "node", "w", ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("q"))
-        if d == depth - 1:
-            nodes = chance
-        nodes = nodes.withColumn("c", F.col("ctx").bitwiseAND(mask)).join(here, ["c", "node"]).drop("c").withColumn("p", F.col("w") * F.col("q") + (1 - F.col("w")) * F.col("p")).drop("w", "q")
-    nodes = nodes if depth else chance
-    bits = -F.log2(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return steps.join(nodes, ["ctx", "node"]).groupBy("code").agg(F.sum(bits).alias("bits"))
+    if not 2 <= depth <= 6:
+        raise ValueError("the depth must be from 2 to 6")
+    group = F.shiftright("code", 8).bitwiseAND(0xFFFF)
+    rows = counts.select(group.alias("group"), "code", "n").repartition("group").sortWithinPartitions("group", "code")
+    deep = stored(rows.mapInArrow(_deep(depth), "code bigint, chances array<double>, ctx int, node int, n0 bigint, n1 bigint, pw double"), "ctw-deep")
+    one = deep.where("code is null").groupBy(F.col("ctx").bitwiseAND(255).alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("deeper")).orderBy("ctx", "node").toPandas()
+    stop, chance = np.zeros((2, 256, 256)), np.zeros((2, 256, 256))
+    if len(one):
+        c, node, n0, n1 = one["ctx"].to_numpy(np.int64), one["node"].to_numpy(np.int64), one["n0"].to_numpy(float), one["n1"].to_numpy(float)
+        pw, stop[1, c, node], chance[1, c, node] = weigh(n0, n1, one["deeper"].to_numpy())
+        zero, up = np.unique(node, return_inverse=True)
+        _, w, q = weigh(np.bincount(up, n0), np.bincount(up, n1), np.bincount(up, pw))
+        stop[0][:, zero], chance[0][:, zero] = w, q
+
+    top = deep.sparkSession.sparkContext.broadcast((stop, chance))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop, chance = top.value
+        for batch in batches:
+            code = batch.column(0).to_numpy()
+            p = batch.column(1).flatten().to_numpy().reshape(-1, 8).T
+            node, bit = _steps(code)
+            for d in (1, 0):
+                at = ((code >> 8) & 255)[None, :], node
+                p = stop[d][at] * chance[d][at] + (1 - stop[d][at]) * p
+            bits = -np.log2(np.where(bit == 1, p, 1 - p)).sum(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["code", "bits"])
+
+    return deep.where("code is not null").select("code", "chances").mapInArrow(run, "code bigint, bits double")
 
 
 def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
