@@ -15,7 +15,7 @@ _DUCK = {"ts": "timestamp", "div": "//", "str": "varchar", "quot": '"', "ntz": "
 
 def money(expr: str, places: int = 4) -> str:
     """An exact sum of doubles that have few decimals: the same in any order of rows."""
-    return f"cast(sum(cast({expr} as decimal(28,{places}))) as double)"
+    return f"cast(sum(cast({expr} as decimal(18,{places}))) as double)"
 
 
 def mean(expr: str, places: int = 4) -> str:
