@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.cache import POLICIES, Registry
 from .plans.lineage import Annotation, annotations
 from .sources import catalog
+from .sources.ship import ship
 
 #: UTC, so that timestamps agree with other engines; ANSI errors; "x" as a column name.
 SETTINGS = {
@@ -69,6 +70,7 @@ class EngineBuilder:
                 spark.conf.set(key, value)
         for url, options in self.stores:
             catalog.register_object_store(spark, url, options)
+        ship(spark)
         return Engine(spark, Registry(spark, self.memory, self.disk, self.policy, self.hydrate))
 
 
