@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tierlens.llm import exact_dedup, langid, mixing, ngram_join, piece_fst
 from tierlens.llm.common import stored
 from tierlens.llm.queries import PIECE_MODEL
+from tierlens.sources.ship import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +45,7 @@ STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix)
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; each stage's are written as Parquet to the shared folder and read again by the next."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
