@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 # N-gram Jaccard join
 
 
-def _grams(text, n=5):
+def _grams(text, n=3):
     w = "".join(c if c not in "\t\n\x0b\x0c\r" else " " for c in text.lower()).split(" ")
     w = [x for x in w if x]
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
@@ -63,6 +63,8 @@ def test_shingles_are_those_of_plain_loops():
     grams, at = ngram_join.shingles(pa.array(texts))
     for i, t in enumerate(texts):
         assert at[i + 1] - at[i] == len(_grams(t or ""))
+    grams, at = ngram_join.shingles(pa.array(texts), 5)
+    assert at[1] == 2 and len(set(grams[at[3] : at[6]].tolist())) == 0
     assert grams[at[0]] in grams[at[1] : at[2]] or grams[at[0] + 1] in grams[at[1] : at[2]]
 
 
@@ -80,6 +82,22 @@ def test_posterior_of_a_pair():
         assert tail(m) >= 1e-3 * 0.99 and (m == 0 or tail(m - 1) < 1e-3 * 1.01)
 
 
+def test_sketches_keep_what_may_be_alike():
+    """Of many pairs at the threshold the sketches keep all but the tolerance and some chance; of unlike pairs they drop most."""
+    rng = np.random.default_rng(1)
+    least, kept = ngram_join.least_bits(0.5, 1e-3), []
+    for same in (200, 6):  # of 300 grams each: similarity 0.5 and 0.01
+        ok = 0
+        for _ in range(60):
+            common_ = rng.integers(0, 2**63, same, dtype=np.uint64)
+            sets = [np.sort(np.concatenate([common_, rng.integers(0, 2**63, 300 - same, dtype=np.uint64)])) for _ in range(2)]
+            sig = ngram_join.signatures(np.concatenate(sets) * np.uint64(2), np.array([0, 300, 600]))
+            a, b = ngram_join.sketches(sig)
+            ok += 64 - bin(int(a) ^ int(b)).count("1") >= least
+        kept.append(ok)
+    assert kept[0] >= 58 and kept[1] <= 25
+
+
 def test_pairs_match_brute_force(spark):
     rows = [(i, t) for i, t in enumerate(_variants())]
     rows += [(100 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
