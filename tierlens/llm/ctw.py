@@ -86,7 +86,7 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x >= 0.5: Stirling's series eight further up."""
     z = x + 8
     low = np.multiply.reduce([x + k for k in range(8)])
-    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(low)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - np.log(low)
 
 
 def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -242,3 +242,32 @@ def _joined(docs: DataFrame, table: DataFrame, text: str, depth: int, tmp: str)
     sums = parts.join(table, "code").groupBy("key").agg(F.struct(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bits")).alias("b")).alias(tmp)).withColumnRenamed("key", key)
     empty = F.when(F.col(text) == "", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("b")))
     return docs.withColumn(key, F.md5(text)).join(sums, key, "left").withColumn(tmp, F.coalesce(F.col(tmp), empty)).drop(key)
+
+
+def oracle() -> str:
+    """DuckDB SQL for (doc_id, n_bytes, code_bits, bits_per_byte) of documents at depth 3, bits rounded to three places and their mean to six."""
+    kt_ = "lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1) - ln(pi())"
+
+    def level(d: int) -> str:
+        keys = ", ".join([*(f"c{k}" for k in range(1, d + 1)), "node"])
+        return f"""
+s{d} as (select {keys}, sum(n0) as n0, sum(n1) as n1, sum(pw) as deeper from l{d + 1} group by all),
+l{d} as (select *, greatest(own, deeper) + ln(exp(own - greatest(own, deeper)) + exp(deeper - greatest(own, deeper))) - ln(2) as pw,
+  1 / (1 + exp(least(deeper - own, 700))) as w{d}, (n1 + 0.5) / (n0 + n1 + 1) as q{d} from (select *, {kt_} as own from s{d}) x),"""
+
+    return f"""
+with texts as materialized (select row_number() over () as r, doc_id, text from documents),
+bytes as (select r, unnest(l) as c, generate_subscripts(l, 1) as i from (
+  select r, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::int) as l from texts) x),
+places as materialized (select r, c, coalesce(lag(c, 1) over w, 0) as c1, coalesce(lag(c, 2) over w, 0) as c2, coalesce(lag(c, 3) over w, 0) as c3 from bytes window w as (partition by r order by i)),
+grams as (select c1, c2, c3, c, count(*)::double as n from places group by all),
+steps as (select *, (1 << j) | (c >> (8 - j)) as node, (c >> (7 - j)) & 1 as bit from (select *, unnest(range(8))::int as j from grams) x),
+s3 as (select c1, c2, c3, node, sum(n * (1 - bit)) as n0, sum(n * bit) as n1 from steps group by all),
+l3 as (select *, {kt_} as pw, (n1 + 0.5) / (n0 + n1 + 1) as q3 from s3),{level(2)}{level(1)}{level(0)}
+chances as (select c1, c2, c3, node, w0 * q0 + (1 - w0) * (w1 * q1 + (1 - w1) * (w2 * q2 + (1 - w2) * q3)) as p
+  from l3 join (select c1, c2, node, w2, q2 from l2) using (c1, c2, node) join (select c1, node, w1, q1 from l1) using (c1, node) join (select node, w0, q0 from l0) using (node)),
+lengths as (select c1, c2, c3, c, sum(-log2(case when bit = 1 then p else 1 - p end)) as bits from steps join chances using (c1, c2, c3, node) group by all),
+sums as (select r, sum(bits) as bits, count(*) as n from places join lengths using (c1, c2, c3, c) group by r)
+select doc_id, case when text is not null then coalesce(n, 0)::bigint end as n_bytes, case when text is not null then round(coalesce(bits, 0), 3) end as code_bits,
+  round(bits / n, 6) as bits_per_byte from texts left join sums using (r)
+"""

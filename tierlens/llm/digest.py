@@ -161,3 +161,33 @@ def nearest(docs: DataFrame, items: DataFrame, bound: int = 150, text: str = "te
     pair = fresh(out, "pair")
     out = out.withColumn(pair, F.arrow_udf(run, "struct<i:bigint,s:int>")(F.col(name)))
     return out.withColumns({near: F.col(pair)["i"], by: F.col(pair)["s"]}).drop(pair)
+
+
+def oracle(bound: int = 150) -> str:
+    """DuckDB SQL for (doc_id, digest, nearest_item, difference) of documents against benchmark."""
+    table = "[" + ",".join(map(str, T)) + "]"
+    t = lambda i: f"({table})[{i} + 1]"
+    hashed = ", ".join(t(f"xor({t(f'xor({t(f'xor({T[salt]}, c)')}, c{d1})')}, c{d2})") for salt, d1, d2 in TRIPLETS)
+    around = lambda a, b, m: f"least(({a} - {b} + {m}) % {m}, ({b} - {a} + {m}) % {m})"
+    ratio = lambda c: f"case when {around(f'd.{c}', f'b.{c}', 16)} <= 1 then {around(f'd.{c}', f'b.{c}', 16)} else 12 * ({around(f'd.{c}', f'b.{c}', 16)} - 1) end"
+    step = around("d.size_code", "b.size_code", 256)
+    return f"""
+with texts as materialized (select 'd' as k, row_number() over () as r, doc_id as id, text from documents union all select 'b', row_number() over (), item_id, text from benchmark),
+bytes as (select k, r, unnest(l) as c, generate_subscripts(l, 1) as i from (
+  select k, r, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::int) as l from texts) x),
+windows as (select * from (select k, r, c, lag(c, 1) over w as c1, lag(c, 2) over w as c2, lag(c, 3) over w as c3, lag(c, 4) over w as c4
+  from bytes window w as (partition by k, r order by i)) x where c4 is not null),
+checks as (select k, r, (sum({t(f"xor(c, {t('c1')})")}) % 256)::int as checksum from windows group by all),
+hits as (select k, r, bucket, count(*) as n from (select k, r, unnest([{hashed}]) as bucket from windows) x where bucket < {BUCKETS} group by all),
+bodies as (select k, r, list(coalesce(n, 0) order by bucket) as body from (select k, r, unnest(range({BUCKETS})) as bucket from checks) x left join hits using (k, r, bucket) group by all),
+facts as (select k, r, checksum, body, list_sort(body)[{BUCKETS // 4}] as q1, list_sort(body)[{BUCKETS // 2}] as q2, list_sort(body)[{3 * BUCKETS // 4}] as q3 from bodies join checks using (k, r)),
+coded as (select t.k, t.r, id, checksum, (floor(8 * log2(octet_length(encode(text))))::int & 255) as size_code, (q1 * 100 // q3 % 16)::int as r1, (q2 * 100 // q3 % 16)::int as r2,
+  list_transform(body, lambda x: (x > q1)::int + (x > q2)::int + (x > q3)::int) as code
+  from texts t join facts f on t.k = f.k and t.r = f.r where octet_length(encode(text)) >= {MIN_BYTES} and q3 > 0),
+digests as (select *, printf('%02x%02x%02x', checksum, size_code, r1 * 16 + r2) || list_aggregate(list_transform(range({BUCKETS // 4}), lambda j:
+  printf('%02x', code[4 * j + 1] + 4 * code[4 * j + 2] + 16 * code[4 * j + 3] + 64 * code[4 * j + 4])), 'string_agg', '') as digest from coded),
+pairs as (select d.r, b.id as item, (d.checksum <> b.checksum)::int + case when {step} <= 1 then {step} else 12 * {step} end + {ratio('r1')} + {ratio('r2')}
+  + list_sum(list_transform(list_zip(d.code, b.code), lambda z: ([0, 1, 2, 6])[abs(z[1] - z[2]) + 1])) as s from digests d, digests b where d.k = 'd' and b.k = 'b'),
+best as (select r, min(s)::int as s, min_by(item, (s, item)) as item from pairs where s < {bound} group by r)
+select t.id as doc_id, digest, item as nearest_item, s as difference from texts t left join digests d on t.k = d.k and t.r = d.r left join best on t.r = best.r where t.k = 'd'
+"""

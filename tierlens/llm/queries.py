@@ -62,7 +62,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "code_bits", "bits_per_byte")
+    scores = ctw.score(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_bytes", F.round("code_bits", 3).alias("code_bits"), F.round("bits_per_byte", 6).alias("bits_per_byte"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_fingerprints": digest.oracle(),
     "op5_exact_dedup": "select min(doc_id) as doc_id, sha256(text) as digest from documents where text is not null group by text",
     "op8_mixing": mixing.ORACLE,
+    "op9_lm_score": ctw.oracle(),
 }
