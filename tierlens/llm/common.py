@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that a numpy kernel works on at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a numpy kernel works on at once, at some 60 bytes of memory each; a longer document is a slice of its own.
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 _LOCAL: dict[str, str] = {}
 
 
@@ -34,7 +36,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tierlens-"))
+        base = _LOCAL.get("dir") or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tierlens-"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -45,6 +47,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_bytes(df: DataFrame) -> DataFrame:
+    """*df*, with the session's Arrow batches limited by bytes: ten thousand texts at once would be a large part of a small executor.
+
+    A limit that the session sets itself, if smaller, stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = df.sparkSession.conf.get(name).lower().removesuffix("b")
+    if not given.isdigit() or not 0 < int(given) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and offsets (n + 1); null counts as empty."""
     if texts.null_count:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEWLINE, WHITE, flat, parts, slices, stored
+from .common import NEWLINE, WHITE, by_bytes, flat, parts, slices, stored
 
 BINS = 16
 TEXT_FEATURES = ("upper", "symbols", "digits", "beyond_ascii", "pipes", "shouts", "marks", "stops", "word_length", "lines", "new_words", "same_words", "same_lines")
@@ -205,7 +205,7 @@ def train(rows: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, sure:
 def features(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text_bins, meta_bins, label) of all documents; ids with labels of both classes count as unlabelled."""
     given = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("labelled")).agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low = high and low in (0, 1)").select("labelled", F.col("low").cast("int").alias("label"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), _text_column(F.col(text)).alias("text_bins"), _meta_column(F.col("source"), F.col("lang"), F.col("n_chars")).alias("meta_bins"))
+    rows = by_bytes(docs).select(F.col(doc_id).cast("long").alias("id"), _text_column(F.col(text)).alias("text_bins"), _meta_column(F.col("source"), F.col("lang"), F.col("n_chars")).alias("meta_bins"))
     return rows.join(given, rows["id"] == given["labelled"], "left").drop("labelled")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, fresh, slices, stored
+from .common import by_bytes, flat, fresh, slices, stored
 
 DEPTH = 3
 BROADCAST_GRAMS = 20_000_000
@@ -199,7 +199,7 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, broadcast_gra
     """
     names = [fresh(docs, c) for c in ("n_bytes", "code_bits", "bits_per_byte")]
     table = stored(code_lengths(stored(gram_counts(docs, text, depth), "ctw-grams"), depth), "ctw-bits")
-    tmp = fresh(docs, "ctw")
+    tmp = fresh(by_bytes(docs), "ctw")
     if table.count() <= broadcast_grams:
         found = table.orderBy("code").toArrow()
         kind = np.uint32 if depth <= 3 else np.uint64

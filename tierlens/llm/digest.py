@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, fresh, slices
+from .common import by_bytes, flat, fresh, slices
 
 BUCKETS, MIN_BYTES, DIGEST_BYTES = 128, 50, 35
 #: (salt, distances of the two further bytes from the window's last byte)
@@ -138,7 +138,7 @@ def nearest(docs: DataFrame, items: DataFrame, bound: int = 150, text: str = "te
     """
     name, near, by = fresh(docs, "digest"), fresh(docs, "nearest_item"), fresh(docs, "difference")
     coded = items.select(F.col(item_id).cast("long").alias("i"), digest(F.col(text)).alias("g")).where("i is not null and g is not null")
-    out = docs.withColumn(name, digest(F.col(text)))
+    out = by_bytes(docs).withColumn(name, digest(F.col(text)))
     if items.count() > most_items:
         key = fresh(out, "row")
         rows = out.withColumn(key, F.struct(F.xxhash64(*out.columns), F.monotonically_increasing_id()))

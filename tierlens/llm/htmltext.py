@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices
+from .common import by_bytes, fresh, slices
 
 #: Comments, declarations and tags; a "<" that starts none of them is text.
 _MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -320,4 +320,4 @@ def extract(page: Column) -> Column:
 
 def visible_text(pages: DataFrame, page: str = "html") -> DataFrame:
     """*pages* with ``text``; a column of that name keeps its own and the new one gets underscores appended."""
-    return pages.withColumn(fresh(pages, "text"), extract(F.col(page)))
+    return by_bytes(pages).withColumn(fresh(pages, "text"), extract(F.col(page)))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, fresh, slices
+from .common import by_bytes, flat, fresh, slices
 
 UNKNOWN = "und"
 #: Trigrams of 40 usual letter bytes; the background spreads evenly over that many.
@@ -184,10 +184,10 @@ def identify(text: Column, profiles: Profiles, reject_share: float = 0.5) -> Col
 
 def detect(docs: DataFrame, profiles: Profiles, text: str = "text", reject_share: float = 0.5) -> DataFrame:
     """*docs* with a struct column ``language`` (see :func:`identify`); a column of that name keeps its own and the new one gets underscores appended."""
-    return docs.withColumn(fresh(docs, "language"), identify(F.col(text), profiles, reject_share))
+    return by_bytes(docs).withColumn(fresh(docs, "language"), identify(F.col(text), profiles, reject_share))
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, text: str = "text", reject_share: float = 0.5) -> DataFrame:
     """The rows of *docs* that aren't rejected, with the columns of *docs*."""
     name = fresh(docs, "language")
-    return docs.withColumn(name, identify(F.col(text), profiles, reject_share)).where(~F.col(f"`{name}`.rejected")).drop(name)
+    return by_bytes(docs).withColumn(name, identify(F.col(text), profiles, reject_share)).where(~F.col(f"`{name}`.rejected")).drop(name)

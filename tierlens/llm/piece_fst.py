@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices
+from .common import by_bytes, fresh, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LETTER = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-#: Paths and adjacencies that a worker keeps; twice as many for a while.
-KEPT = 300_000
+#: Paths that a worker keeps, twice as many for a while; adjacencies that it keeps.
+KEPT, KEPT_PAIRS = 120_000, 300_000
 #: Weight of the byte fallback of a character in unigram models: above any piece's.
 UNCOVERED = 1e4
 RESULT = "struct<ids:array<int>,n_tokens:int,round_trip:boolean>"
@@ -129,7 +129,7 @@ class Transducer:
                         end_y, y = made_y, parts[y][0]
             else:
                 known = self.merged(left + right) == [left, right]
-        if len(self.adjacent) >= 3 * KEPT:
+        if len(self.adjacent) >= KEPT_PAIRS:
             self.adjacent.clear()
         self.adjacent[key] = known
         return known
@@ -262,18 +262,19 @@ def encode(text: Column, path: str) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         fst = transducer(path)
+        ends, ok, chunks = [0], [], []
         gc.disable()  # millions of small tuples live on; none is in a cycle
-        values, ends, ok = [], [0], []
-        chunks = []
-        for part in slices(texts):
-            values = []
-            for t in part.to_pylist():
-                ids = fst.encode(t) if t else []
-                values += ids
-                ends.append(ends[-1] + len(ids))
-                ok.append(fst.decode(ids) == t.replace(SPACE, " ") if t else True)
-            chunks.append(np.array(values, np.int32))
-        gc.enable()
+        try:
+            for part in slices(texts):
+                values: list[int] = []
+                for t in part.to_pylist():
+                    ids = fst.encode(t) if t else []
+                    values += ids
+                    ends.append(ends[-1] + len(ids))
+                    ok.append(fst.decode(ids) == t.replace(SPACE, " ") if t else True)
+                chunks.append(np.array(values, np.int32))
+        finally:
+            gc.enable()
         flat_ids = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
         at = np.array(ends, np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat_ids))
@@ -297,5 +298,5 @@ def decode(ids: Column, path: str) -> Column:
 def tokenise(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """*docs* with ``ids``, ``n_tokens`` and ``round_trip`` (see :func:`encode`); names that clash get underscores appended."""
     tmp = fresh(docs, "tokens")
-    out = docs.withColumn(tmp, encode(F.col(text), path))
+    out = by_bytes(docs).withColumn(tmp, encode(F.col(text), path))
     return out.withColumns({fresh(docs, c): F.col(tmp)[c] for c in ("ids", "n_tokens", "round_trip")}).drop(tmp)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, slices
+from .common import by_bytes, flat, slices
 
 #: Spans that score less aren't reported; characters on each side in which context words count, and what they add.
 THRESHOLD, WINDOW, BOOST, DAMP = 0.5, 60, 0.25, 0.3
@@ -159,7 +159,7 @@ def detect(text: Column) -> Column:
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, score, confirmed): one row for each span; rows of *docs* that repeat give theirs again."""
     # explode() would add a filter on the array's size, for which the function runs a second time.
-    spans_ = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(detect(F.col(text))).alias("s")).where("s is not null")
+    spans_ = by_bytes(docs).select(F.col(doc_id).alias("doc_id"), F.explode_outer(detect(F.col(text))).alias("s")).where("s is not null")
     return spans_.select("doc_id", "s.kind", "s.start", "s.end", "s.score", "s.confirmed")
 
 
