@@ -9,8 +9,6 @@ it needs the base value.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -186,8 +184,3 @@ def substring_candidates(df: DataFrame, value: str, needle: str) -> DataFrame:
     out = df.withColumn("print", strings.fingerprint(F.col(value)))
     candidate = strings.may_contain(F.col("print"), needle)
     return out.withColumns({"candidate": candidate, "match": candidate & F.col(value).contains(needle)})
-
-
-def iterate_batches(df: DataFrame) -> Iterator[int]:
-    """Batch numbers in order, for tools that work batch by batch."""
-    return (r["batch"] for r in df.select("batch").distinct().orderBy("batch").toLocalIterator())
