@@ -274,6 +274,20 @@ def test_code_lengths_match_the_recursion(spark, depth):
             assert got[i]["bits_per_byte"] == (pytest.approx(want[i] / len(t.encode())) if t else None)
 
 
+def test_default_scores_know_dependences_of_six_bytes(spark):
+    from tierlens.llm.queries import QUERIES
+
+    texts = [f"{c}same-{c}" for c in "abcdefgh"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want, shallow = _ctw_by_hand(texts, 6), _ctw_by_hand(texts, 3)
+    got = {r["doc_id"]: r["code_bits"] for r in ctw.score(df).collect()}
+    assert all(got[i] == pytest.approx(want[i], rel=1e-7) for i in got)
+    assert sum(got.values()) < 0.9 * sum(shallow)
+    deep = {r["doc_id"]: r["bits_per_byte"] for r in QUERIES["op9_lm_score_deep"](spark, SF).collect()}
+    flat = {r["doc_id"]: r["bits_per_byte"] for r in QUERIES["op9_lm_score"](spark, SF).collect()}
+    assert deep.keys() == flat.keys() and sum(v for v in deep.values() if v) < 0.9 * sum(v for v in flat.values() if v)
+
+
 def test_scores_of_odd_rows_and_of_noise(spark):
     docs = odd_documents(spark)
     out = ctw.score(docs)

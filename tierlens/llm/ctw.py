@@ -12,9 +12,9 @@ task computes; of the two depths above there are at most 65,280 and 255
 contexts, which are aggregated and sent to all.  The result is the code length
 of every gram of the corpus, from which documents are scored without a shuffle.
 
-With three bytes of context there are at most 2**32 grams, and some ten
-million in real text; up to ``broadcast_grams`` their code lengths travel to
-the workers (12 bytes each), beyond that documents are joined to them.
+With six bytes of context the grams grow with the corpus; up to
+``broadcast_grams`` their code lengths travel to the workers (16 bytes each, 12
+up to depth three), beyond that documents are joined to them.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, flat, fresh, slices, stored
 
-DEPTH = 3
+#: Bytes of context, the most that a gram's code holds.
+DEPTH = 6
 BROADCAST_GRAMS = 20_000_000
 
 
