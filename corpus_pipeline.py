@@ -31,8 +31,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples the sources down to the target weights."""
-    return mixing.sample(docs)
+    """Samples the sources down to the target weights; short sources stay whole and the others fill up for them."""
+    return mixing.sample(docs, fill=mixing.FILL)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,6 +198,25 @@ def test_mix_matches_sorting(spark):
     assert got == Counter(_mix_by_hand(rows, [0.3], {"a": 1, "b": 2}))
 
 
+def test_short_sources_give_all_and_leave_the_rest_to_others(spark):
+    import corpus_pipeline
+
+    rows = [(i, "x " * 20, "abcd"[i % 4]) for i in range(400)] + [(400, "x y", "tiny"), (401, "x", None)]
+    have = {"a": 2000, "b": 2000, "c": 2000, "d": 2000, "tiny": 2, None: 1}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = corpus_pipeline.mix(spark, docs, SF).groupBy("source").agg(F.sum(mixing.token_count(F.col("text"))).alias("n"))
+    kept = {r["source"]: r["n"] for r in kept.collect()}
+    assert kept.keys() == have.keys() and kept["tiny"] == 2 and kept[None] == 1
+    assert 0.74 * 8003 < sum(kept.values()) <= 0.75 * 8003
+    counts = spark.createDataFrame([("a", 900), ("b", 100), ("c", 10), ("d", 5)], "source string, tokens bigint")
+    for fill, weights, want in [
+        (0.5, {"a": 3, "b": 1, "c": 1}, {"a": 395, "b": 100, "c": 10, "d": 0}),
+        (1.0, {"a": 3, "b": 1, "c": 1, "d": 7}, {"a": 900, "b": 100, "c": 10, "d": 5}),
+        (0.0, {"a": 3, "b": 1, "c": 1}, {"a": 30, "b": 10, "c": 10, "d": 0}),
+    ]:
+        assert {r["source"]: r["budget"] for r in mixing.targets(counts, [1.0], weights, fill).collect()} == want
+
+
 def test_mix_of_odd_rows(spark):
     docs = odd_documents(spark)
     out = mixing.mix(docs)

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import fresh, stored
 
 BITS, LEVELS = 12, 4
-#: Shares of the largest budget that all sources can fill at the target weights.
+#: Shares of the largest budget.
 BUDGETS = (0.25, 0.5, 1.0)
+#: Share of all tokens that the pipeline's sample holds at least, however short the shortest source.
+FILL = 0.75
 #: Weight of a source without given weights: the power of its tokens.
 ALPHA = 0.5
 BROADCAST_SOURCES = 100_000
@@ -42,19 +44,40 @@ def _source(source: Column) -> Column:
     return F.coalesce(source.cast("string"), F.lit("\u0000"))
 
 
-def targets(rows: DataFrame, budgets: Sequence[float] = BUDGETS, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """(source, share, budget): tokens to take of each source, from rows of (source, tokens)."""
+def targets(rows: DataFrame, budgets: Sequence[float] = BUDGETS, weights: Mapping[str, float] | None = None, fill: float | None = None) -> DataFrame:
+    """(source, share, budget): tokens to take of each source, from rows of (source, tokens); see :func:`mix` for *fill*."""
     total = rows.groupBy("source").agg(F.sum("tokens").alias("have"))
     weight = F.floor(F.pow("have", F.lit(ALPHA))).cast("double")
     if weights is not None:
         given = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else F.lit(None).cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0))
     total = total.withColumn("w", weight)
+    if fill is not None:
+        return _filled(total, budgets, fill)
     unit = total.where("w > 0").agg(F.min(F.col("have") / F.col("w")).alias("unit"))
     share = F.explode(F.array(*[F.lit(float(b)) for b in budgets]))
     return total.crossJoin(F.broadcast(unit)).withColumn("share", share).select("source", "share", F.floor(F.coalesce(F.col("share") * F.col("unit") * F.col("w"), F.lit(0.0))).cast("long").alias("budget"))
 
 
+def _filled(total: DataFrame, budgets: Sequence[float], fill: float) -> DataFrame:
+    """The budgets from (source, have, w), short sources giving all they have and the others the rest by weight."""
+    ratio = F.col("have") / F.col("w")
+    by = W.orderBy("ratio", "source")
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    short = total.where("w > 0 and have > 0").withColumn("ratio", ratio)
+    # Of sources from the shortest on: what the shorter ones have, the weights from here on, and what all give at this one's ratio.
+    steps = short.select("source", "ratio", F.coalesce(F.sum("have").over(before), F.lit(0)).alias("gone"), F.sum("w").over(W.orderBy(F.desc("ratio"), F.desc("source"))).alias("rest"))
+    steps = steps.withColumn("cap", F.col("gone") + F.col("ratio") * F.col("rest"))
+    size = short.agg(F.greatest(F.min("ratio") * F.sum("w"), F.sum("have") * F.lit(float(fill))).alias("size"), F.sum("have").alias("all"))
+    share = F.explode(F.array(*[F.lit(float(b)) for b in budgets]))
+    size = size.withColumn("share", share).withColumn("size", F.least(F.col("share") * F.col("size"), F.col("all").cast("double")))
+    first = steps.crossJoin(F.broadcast(size)).where("cap >= size").groupBy("share").agg(F.min_by(F.least((F.col("size") - F.col("gone")) / F.col("rest"), F.col("ratio")), F.struct("ratio", "source")).alias("level"))
+    # Rounding may leave the last cap under the size of all tokens: without a level all is taken.
+    level = size.select("share").join(first, "share", "left")
+    budget = F.when((F.col("w") > 0) & (F.col("level").isNull() | (ratio <= F.col("level"))), F.col("have")).when(F.col("w") > 0, F.floor(F.col("level") * F.col("w"))).otherwise(0)
+    return total.crossJoin(F.broadcast(level)).select("source", "share", budget.cast("long").alias("budget"))
+
+
 def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(source, share, threshold): documents of the source with a hash under it fit the budget, those of the next hash wouldn't; 2**48 if all fit."""
     state = wanted.select("source", "share", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
@@ -78,19 +101,22 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("source", "share").join(found, ["source", "share"], "left").select("source", "share", F.coalesce("threshold", F.lit(1 << BITS * LEVELS)).alias("threshold"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budgets: Sequence[float] = BUDGETS, weights: Mapping[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budgets: Sequence[float] = BUDGETS, weights: Mapping[str, float] | None = None, fill: float | None = None) -> DataFrame:
     """The sampled rows of *docs* with ``tokens`` and ``tier``, the smallest budget whose sample holds the document.
 
     Target weights are *weights* by source (those not named get 0), or else the
     square root of each source's tokens.  The largest budget is the one at
-    which the first source is used up.  A null source is a source of its own;
+    which the first source is used up.  With *fill* it is this share of all
+    tokens of sources with weight, if that is more: sources too short for their
+    weight give all they have, and the others make up for it by weight; the
+    smaller budgets are shares of it, filled likewise.  A null source is a source of its own;
     a null text has no tokens; rows that repeat an id stand or fall together,
     also where their tokens alone pass the budget.  Names that clash with a
     column of *docs* get underscores appended.
     """
     tokens, tier = fresh(docs, "tokens"), fresh(docs, "tier")
     rows = stored(docs.select(_source(F.col(source)).alias("source"), token_count(F.col(text)).alias("tokens"), hash48(F.col(doc_id)).alias("h")), "mixing-rows")
-    cut = thresholds(rows, stored(targets(rows, budgets, weights), "mixing-targets"))
+    cut = thresholds(rows, stored(targets(rows, budgets, weights, fill), "mixing-targets"))
     cut = stored(cut.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("share", "threshold"))).alias("cuts")), "mixing-cuts")
     s, h, cuts = fresh(docs, "mix_source"), fresh(docs, "mix_hash"), fresh(docs, "mix_cuts")
     cut = cut.select(F.col("source").alias(s), F.col("cuts").alias(cuts))

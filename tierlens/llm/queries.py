@@ -58,9 +58,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budgets of the query's SQL, which end where the first source is used up."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "tier")
 
 
+def op8_mixing_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budgets of the pipeline, which no short source limits."""
+    return mixing.mix(table(spark, sf_dir, "documents"), fill=mixing.FILL).select("doc_id", "source", "tokens", "tier")
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores at the depth of three bytes that the query's SQL states."""
     return _lm_score(spark, sf_dir, 3)
@@ -82,7 +88,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op6_pii, op7_quality, op8_mixing, op9_lm_score, op9_lm_score_deep, op10_html)
+    for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op6_pii, op7_quality, op8_mixing, op8_mixing_filled, op9_lm_score, op9_lm_score_deep, op10_html)
 }
 
 ORACLES: dict[str, str] = {
