@@ -242,6 +242,21 @@ def test_pii_kinds_scores_and_context():
     assert pii.spans("999.1.1.1 and 1.2.3.4.5 and 000-12-3456 and 12.5.2") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("7 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("4111-1111-1111-1112 5500-0000-0000-0004", ["5500-0000-0000-0004"]),
+        ("DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("AB12 DE89 3704 0044 0532 0130 00 17", ["DE89 3704 0044 0532 0130 00"]),
+        ("4111 1111 1111 1112", []),
+    ],
+)
+def test_pii_inside_rejected_proposals(text, want):
+    assert [text[s:e] for s, e, kind, *_ in pii.spans(text) if kind in ("card", "iban")] == want
+
+
 def test_pii_prefilter_loses_nothing(spark):
     """Every text is searched by hand, without the scan for digits and at signs."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

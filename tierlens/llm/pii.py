@@ -85,16 +85,29 @@ class Kind:
     for_: frozenset[str]
     against: frozenset[str]
     group: int = 0
+    between: str = ""  # separators at which a proposal may end earlier if its checksum fails
 
+    def proposals(self, text: str) -> Iterator[tuple[int, int]]:
+        """Confirmed spans.  After a rejected one, all its shorter ends are tried, and the search goes on behind its start."""
+        at = 0
+        while (m := self.pattern.search(text, at)) is not None:
+            start, end = m.span(self.group)
+            if self.check is None or self.check(text[start:end]):
+                yield start, end
+                at = m.end()
+            else:
+                yield from ((start, i) for i in range(end - 1, start, -1) if text[i] in self.between and self.check(text[start:i]))
+                at = m.start() + 1
 
-def _kind(name, pattern, base, check, passed, for_, against="", group=0):
-    return Kind(name, re.compile(pattern), base, check, passed, frozenset(for_.split()), frozenset(against.split()), group)
+
+def _kind(name, pattern, base, check, passed, for_, against="", group=0, between=""):
+    return Kind(name, re.compile(pattern), base, check, passed, frozenset(for_.split()), frozenset(against.split()), group, between)
 
 
 KINDS = (
     _kind("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])", 0.9, None, 0, "email mail e-mail contact correo courriel kontakt"),
-    _kind("card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d]|\.\d)", 0.2, _card, 0.6, "card credit visa mastercard amex tarjeta carte kreditkarte", "isbn tracking order"),
-    _kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,27}(?![A-Za-z0-9])", 0.2, _iban, 0.7, "iban account bank konto cuenta compte swift bic"),
+    _kind("card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d]|\.\d)", 0.2, _card, 0.6, "card credit visa mastercard amex tarjeta carte kreditkarte", "isbn tracking order", between=" -"),
+    _kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,27}(?![A-Za-z0-9])", 0.2, _iban, 0.7, "iban account bank konto cuenta compte swift bic", between=" "),
     _kind("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", 0.4, _ssn, 0.2, "ssn social security", "isbn order part"),
     _kind("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", 0.3, _octets, 0.35, "ip address host server adresse direccion", "version release v section"),
     _kind("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", 0.4, _phone, 0.25, "phone tel telephone call mobile fax telefon telefono telephone", "isbn order version"),
@@ -109,18 +122,14 @@ _WORD = re.compile(r"[\w-]+")
 def spans(text: str) -> list[tuple[int, int, str, float, bool]]:
     """(start, end, kind, score, confirmed) of one text, in code points from 0 and end excluded, by start.
 
-    A proposal whose checksum fails goes.  Words within the window before and
+    Of a proposal whose checksum fails the parts that pass remain.  Words within the window before and
     after, without the span, add or take once each way; scores lie in 0 to 1
     and are rounded to two places.  Of overlapping spans the one of the higher
     score stays, on ties the longer, then the earlier, then the kind listed first.
     """
     found = []
     for rank, kind in enumerate(KINDS):
-        for m in kind.pattern.finditer(text):
-            start, end = m.span(kind.group)
-            value = text[start:end]
-            if kind.check is not None and not kind.check(value):
-                continue
+        for start, end in kind.proposals(text):
             score = kind.base + (kind.passed if kind.check else 0)
             near = {w.lower() for w in _WORD.findall(text[max(0, start - WINDOW) : start]) + _WORD.findall(text[end : end + WINDOW])}
             score = min(1.0, max(0.0, score + BOOST * bool(near & kind.for_) - DAMP * bool(near & kind.against)))
