@@ -257,6 +257,17 @@ def test_pii_inside_rejected_proposals(text, want):
     assert [text[s:e] for s, e, kind, *_ in pii.spans(text) if kind in ("card", "iban")] == want
 
 
+@pytest.mark.parametrize("iban", ["AE070331234567890123456", "SA0380000000608010167519", "BR1800360305000010009795493C1", "UA213223130000026007233566001", "LC55HEMM000100010012001200023015"])
+def test_pii_ibans_of_all_countries(iban):
+    assert [k for _, _, k, *_ in pii.spans(f"pay to {iban} now")] == ["iban"]
+    assert pii.spans(f"pay to {iban[:-1]} now") == [] or pii.spans(f"pay to {iban[:-1]} now")[0][2] != "iban"
+
+
+def test_pii_of_an_unknown_country():
+    iban = next(f"ZZ{c:02}ABCD1234567890123456789012" for c in range(2, 99) if pii.mod97(f"ZZ{c:02}ABCD1234567890123456789012"))
+    assert [k for _, _, k, *_ in pii.spans(iban)] == ["iban"]
+
+
 def test_pii_prefilter_loses_nothing(spark):
     """Every text is searched by hand, without the scan for digits and at signs."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
