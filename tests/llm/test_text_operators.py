@@ -320,6 +320,22 @@ def test_html_cases(page, want):
     assert htmltext.render(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><body><p>text", "text"),
+        ("<head><meta charset=utf-8><style>p{}</style><script>x</script>text", "text"),
+        ("<head><link rel=x><div>a</div></head>b", "a\nb"),
+        ("<div><td>text</td></div>", "text"),
+        ("<tr><td>a</td></tr> b", "a b"),
+        ("<svg><title>n</title><defs><text>d</text></defs><defs/><path d='M0'/><text>a</text><text>b</text></svg>c", "a\nb\nc"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>", "x=1"),
+    ],
+)
+def test_html_without_end_of_head_or_table(page, want):
+    assert htmltext.render(page) == want
+
+
 def test_html_keeps_all_words_of_real_pages(spark):
     """Against a plain strip of hidden elements and tags: the same words in the same order, but for list markers."""
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect():

@@ -25,7 +25,9 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math param source track area map".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas param source track area map".split())
+#: What SVG and MathML don't show of their own.
+HIDDEN_FOREIGN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 #: Blocks begin on a line of their own; spaced ones also keep a blank line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr menu".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt footer form header hgroup html legend li main nav option optgroup section summary search tr td th thead tbody tfoot caption figcaption".split())
@@ -44,6 +46,10 @@ IMPLIED = {
     "tbody": (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset(["table"])),
     "tfoot": (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset(["table"])),
 }
+#: Start tags that a head may hold; any other, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: Tags that are ignored outside tables, with their text kept.
+CELLS = frozenset("td th tr thead tbody tfoot caption colgroup col".split())
 #: End tags don't reach beyond these, unless they name one.
 BARRIER = frozenset("table td th caption html template".split())
 #: A column is padded to its widest cell, this much at most; gap between columns.
@@ -119,6 +125,7 @@ class Element:
     ordered: bool = False
     rows: list | None = None  # of a table: rows of (lines, colspan, rowspan)
     folded: bool = False  # closed details: only the summary shows
+    foreign: bool = False  # in SVG or MathML
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -208,6 +215,8 @@ def render(page: str) -> str:
                     elif e.flow.lines and e.flow.lines[-1]:
                         e.flow.lines.append("")
                 e.flow.gap()
+            elif e.shown and e.foreign and e.tag == "text":
+                e.flow.end()
             elif e.shown and e.tag in BLOCK:
                 if e.tag == "li":
                     e.flow.prefix = ""
@@ -224,6 +233,8 @@ def render(page: str) -> str:
         return found
 
     def text(data: str) -> None:
+        while stack[-1].tag == "head" and data.strip():
+            close(len(stack) - 1)
         top = stack[-1]
         if data and top.shown and top.visible and not top.folded:
             if top.rows is not None or top.tag in ("tr", "thead", "tbody", "tfoot"):
@@ -232,6 +243,10 @@ def render(page: str) -> str:
             top.flow.text(html.unescape(data) if "&" in data else data, top.indent, top.pre)
 
     def open_(tag: str, attrs: dict[str, str]) -> None:
+        while stack[-1].tag == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
+        if tag in CELLS and not any(e.tag == "table" for e in reversed(stack)):
+            return
         if tag in CLOSES_P and (at := position({"p"}, BARRIER)):
             close(at)
         if tag in IMPLIED and (at := position(*IMPLIED[tag])):
@@ -241,13 +256,18 @@ def render(page: str) -> str:
         up = stack[-1]
         style = attrs.get("style", "").lower().replace(" ", "")
         shown = up.shown and not (up.folded and tag != "summary") and tag not in HIDDEN and "hidden" not in attrs and "display:none" not in style and not (tag == "dialog" and "open" not in attrs) and not (tag == "input" and attrs.get("type", "").lower() == "hidden")
+        foreign = (up.foreign or tag in ("svg", "math")) and tag != "foreignobject"
+        shown = shown and not (foreign and tag in HIDDEN_FOREIGN)
         visible = up.visible
         if "visibility:" in style:
             visible = "visibility:visible" in style
         e = Element(tag, shown, visible, up.pre or tag in ("pre", "textarea"), up.indent, up.flow)
         e.folded = tag == "details" and "open" not in attrs
+        e.foreign = foreign
         if shown:
-            if tag in ("td", "th"):
+            if tag == "text" and foreign:
+                e.flow.end()
+            elif tag in ("td", "th"):
                 e.flow, e.indent = Flow(), ""
                 e.count, e.ordered = _number(attrs.get("colspan"), 1, 1, 1000), _number(attrs.get("rowspan"), 1, 1, 65534)
             elif tag == "tr":
@@ -299,6 +319,9 @@ def render(page: str) -> str:
                 close(i)
             continue
         open_(tag, attributes(m[3]) if m[3] and not m[3].isspace() else {})
+        if m[3].endswith("/") and stack[-1].foreign and stack[-1].tag == tag:
+            close(len(stack) - 1)
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             text(page[at : end.start()])
