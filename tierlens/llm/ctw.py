@@ -215,7 +215,9 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, broadcast_gra
                 total = np.zeros(len(part))
                 if len(code):
                     there = size > 0
-                    total[there] = np.add.reduceat(bits[np.searchsorted(codes, code)], at[:-1][there])
+                    # Sorted grams are found several times faster: their search stays in the cache.
+                    own, back = np.unique(code, return_inverse=True)
+                    total[there] = np.add.reduceat(bits[np.searchsorted(codes, own)][back], at[:-1][there])
                 sizes.append(size)
                 sums.append(total)
             mask = ~np.array(texts.is_valid(), bool)
