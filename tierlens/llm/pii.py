@@ -1,20 +1,23 @@
 """PII: regular expressions propose spans, checksums confirm them, context words move the score.
 
-All patterns need a digit or an at sign, so the expressions run on those texts
-alone that hold one; which they are shows in one vector scan.  Whole texts are
-searched, in one Arrow pass without a shuffle.
+All patterns but that of private keys need a digit or an at sign, so the
+expressions run on those texts alone that hold one; which they are shows in one
+vector scan.  Whole texts are searched, in one Arrow pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +77,37 @@ def _random(text: str) -> bool:
     return any(c.isdigit() for c in text) and -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values()) > 2.5
 
 
+def _ipv6(text: str) -> bool:
+    """A valid address of three groups or more, so that no name in two parts is one."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return len([g for g in text.split(":") if g]) >= 3 and any(c.isdigit() for c in text)
+
+
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_NAMES = frozenset("token secret password passwd pwd passphrase apikey accesskey".split())
+_KEYS = frozenset("api access private secret signing account auth encryption".split())
+
+
+def _names_secret(text: str, at: int) -> bool:
+    """Whether the identifier that ends before *at*, but for blanks and a quote, has a part that names a secret."""
+    end = at
+    while end and at - end < 4 and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "_.-"):
+        start -= 1
+    parts = [p.lower() for p in _PART.findall(text[start:end])]
+    return any(p in _NAMES for p in parts) or any(b == "key" and a in _KEYS for a, b in zip(parts, parts[1:]))
+
+
 @dataclass(frozen=True)
 class Kind:
-    """A kind of PII: base score, what a passed checksum adds, whether a failed one rejects, and context words."""
+    """A kind of PII: base score, what a passed checksum adds, context words, and what must stand before."""
 
     name: str
     pattern: re.Pattern
@@ -87,13 +118,16 @@ class Kind:
     against: frozenset[str]
     group: int = 0
     between: str = ""  # separators at which a proposal may end earlier if its checksum fails
+    before: Callable[[str, int], bool] | None = None
 
     def proposals(self, text: str) -> Iterator[tuple[int, int]]:
         """Confirmed spans.  After a rejected one, all its shorter ends are tried, and the search goes on behind its start."""
         at = 0
         while (m := self.pattern.search(text, at)) is not None:
             start, end = m.span(self.group)
-            if self.check is None or self.check(text[start:end]):
+            if self.before is not None and not self.before(text, m.start()):
+                at = m.end()
+            elif self.check is None or self.check(text[start:end]):
                 yield start, end
                 at = m.end()
             else:
@@ -101,19 +135,21 @@ class Kind:
                 at = m.start() + 1
 
 
-def _kind(name, pattern, base, check, passed, for_, against="", group=0, between=""):
-    return Kind(name, re.compile(pattern), base, check, passed, frozenset(for_.split()), frozenset(against.split()), group, between)
+def _kind(name, pattern, base, check, passed, for_, against="", group=0, between="", before=None):
+    return Kind(name, re.compile(pattern), base, check, passed, frozenset(for_.split()), frozenset(against.split()), group, between, before)
 
 
 KINDS = (
-    _kind("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])", 0.9, None, 0, "email mail e-mail contact correo courriel kontakt"),
+    _kind("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])", 0.9, None, 0, "email mail e-mail contact correo courriel kontakt"),
     _kind("card", r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d]|\.\d)", 0.2, _card, 0.6, "card credit visa mastercard amex tarjeta carte kreditkarte", "isbn tracking order", between=" -"),
     _kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.2, _iban, 0.7, "iban account bank konto cuenta compte swift bic", between=" "),
     _kind("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", 0.4, _ssn, 0.2, "ssn social security", "isbn order part"),
     _kind("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", 0.3, _octets, 0.35, "ip address host server adresse direccion", "version release v section"),
+    _kind("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])", 0.3, _ipv6, 0.35, "ip ipv6 address host server adresse direccion", "version"),
     _kind("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)", 0.4, _phone, 0.25, "phone tel telephone call mobile fax telefon telefono telephone", "isbn order version"),
-    _kind("secret", r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9_+/=-]{16,128})(?![A-Za-z0-9_+/=-])", 0.4, _random, 0.4, "", "example placeholder", 1),
+    _kind("secret", r"(?::=|=>|[:=])\s{0,4}[\"']?([A-Za-z0-9_+/.~-]{16,}+={0,2})(?![A-Za-z0-9_+/=-])", 0.4, _random, 0.4, "", "example placeholder", 1, before=_names_secret),
     _kind("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", 0.4, _random, 0.4, "", "example placeholder"),
+    _kind("secret", r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----)?", 0.9, None, 0, "", "example placeholder"),
 )
 _NEEDS = np.zeros(256, bool)
 _NEEDS[[*range(48, 58), 64]] = True
@@ -127,6 +163,7 @@ def spans(text: str) -> list[tuple[int, int, str, float, bool]]:
     after, without the span, add or take once each way; scores lie in 0 to 1
     and are rounded to two places.  Of overlapping spans the one of the higher
     score stays, on ties the longer, then the earlier, then the kind listed first.
+    Texts of any length are searched in whole, in time in proportion to it.
     """
     found = []
     for rank, kind in enumerate(KINDS):
@@ -136,11 +173,28 @@ def spans(text: str) -> list[tuple[int, int, str, float, bool]]:
             score = min(1.0, max(0.0, score + BOOST * bool(near & kind.for_) - DAMP * bool(near & kind.against)))
             if score >= THRESHOLD:
                 found.append((-round(score, 2), start - end, start, rank, end, kind))
-    taken: list[tuple[int, int, str, float, bool]] = []
-    for score, _, start, _, end, kind in sorted(found, key=lambda x: x[:4]):
-        if not any(start < e and s < end for s, e, *_ in taken):
-            taken.append((start, end, kind.name, -score, kind.check is not None))
-    return sorted(taken)
+    return [(start, end, kind.name, -score, kind.check is not None) for score, _, start, _, end, kind in disjoint(found)]
+
+
+def disjoint(found: list[tuple]) -> list[tuple]:
+    """Of (-score, -length, start, rank, end, kind) those that overlap no better one, by start.
+
+    Spans are judged within groups that overlap, so the time is that of sorting.
+    """
+    out, group, reach = [], [], 0
+    for x in [*sorted(found, key=lambda x: x[2]), None]:
+        if group and (x is None or x[2] >= reach):
+            taken: list[tuple[int, int, tuple]] = []
+            for y in sorted(group, key=lambda y: y[:4]):
+                k = bisect_left(taken, (y[4],))  # those that start before its end
+                if not k or taken[k - 1][1] <= y[2]:
+                    insort(taken, (y[2], y[4], y), key=lambda t: t[:2])
+            out += [y for *_, y in taken]
+            group = []
+        if x is not None:
+            reach = max(reach, x[4]) if group else x[4]
+            group.append(x)
+    return out
 
 
 def _detect(texts: pa.Array) -> pa.Array:
@@ -148,7 +202,8 @@ def _detect(texts: pa.Array) -> pa.Array:
     for part in slices(texts):
         raw, cut = flat(part)
         hits = np.concatenate([[0], np.cumsum(_NEEDS[raw])])
-        for i, n in enumerate((hits[cut[1:]] - hits[cut[:-1]]).tolist()):
+        keys = pc.fill_null(pc.match_substring(part, "PRIVATE KEY"), False).to_numpy(zero_copy_only=False)
+        for i, n in enumerate(((hits[cut[1:]] > hits[cut[:-1]]) | keys).tolist()):
             if n:
                 for s, e, kind, score, ok in spans(part[i].as_py()):
                     starts.append(s)
