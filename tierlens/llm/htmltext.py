@@ -2,14 +2,17 @@
 
 A tokenizer and a tree builder with implied end tags feed a renderer that keeps
 block spacing, list markers and aligned table cells.  It runs on an explicit
-stack, so nesting of any depth is safe, and as one Arrow function without a
-shuffle.
+stack that knows where each tag is open, so its time is in proportion to the
+page whatever is nested or left open, and as one Arrow function without a shuffle.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -18,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, fresh, slices
 
-#: Comments, declarations and tags; a "<" that starts none of them is text.
-_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: Comments, declarations and the beginnings of tags; a "<" that starts none of them is text.
+_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)", re.S)
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -50,10 +54,13 @@ IMPLIED = {
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 #: Tags that are ignored outside tables, with their text kept.
 CELLS = frozenset("td th tr thead tbody tfoot caption colgroup col".split())
+_P, _LISTS = frozenset(["p"]), frozenset("ul ol menu dir".split())
 #: End tags don't reach beyond these, unless they name one.
 BARRIER = frozenset("table td th caption html template".split())
-#: A column is padded to its widest cell, this much at most; gap between columns.
-PAD, GAP = 60, "  "
+#: A column is padded to its widest cell; where that has more characters than this, rows whose cell is wider are pushed out.  Gap between columns.
+PAD, GAP = 200, "  "
+#: Levels of indentation that are shown, and of tables in tables that are laid out; deeper ones give lines like other blocks.
+LEVELS, TABLES = 64, 64
 
 
 @dataclass
@@ -76,16 +83,16 @@ class Flow:
         self.end()
         self.blank = bool(self.lines)
 
-    def start(self, indent: str) -> None:
+    def start(self, indent: int) -> None:
         if not self.parts:
             if self.blank and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.blank = False
             if indent or self.prefix:
-                self.parts.append(indent + self.prefix)
+                self.parts.append("  " * min(indent, LEVELS) + self.prefix)
             self.prefix = ""
 
-    def text(self, data: str, indent: str, pre: bool) -> None:
+    def text(self, data: str, indent: int, pre: bool) -> None:
         if pre:
             for i, line in enumerate(data.replace("\r\n", "\n").split("\n")):
                 if i:
@@ -119,7 +126,7 @@ class Element:
     shown: bool  # display: false hides all that is in it
     visible: bool  # visibility: may be switched on again further in
     pre: bool
-    indent: str
+    indent: int
     flow: Flow
     count: int = 0  # next number of an ordered list
     ordered: bool = False
@@ -136,12 +143,75 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+def declarations(style: str) -> dict[str, str]:
+    """The declarations of a style attribute, in lower case; the last of a name counts."""
+    out: dict[str, str] = {}
+    for part in style.lower().split(";"):
+        name, colon, value = part.partition(":")
+        if colon:
+            out[name.strip()] = value.partition("!")[0].strip()
+    return out
+
+
+class Tags:
+    """The tags of a page in order: (name, whether it ends, attributes' source, where it starts, where it ends)."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.at = 0
+        self.ends: dict[str, list[int]] | None = None
+        self.known: dict[int, int] = {}
+
+    def close(self, at: int) -> int:
+        """Position of the ">" that ends a tag whose name ends at *at*, or -1: quoted strings may hold others.
+
+        The first tag without an end makes the lists of marks by which all
+        further ones are found, so that no part is searched again for each tag.
+        """
+        if self.ends is None:
+            m = _REST.match(self.page, at)
+            if m is not None:
+                return m.end() - 1
+            self.ends = {c: [m.start() for m in re.finditer(c, self.page)] for c in "[>\"']|>|\"|'".split("|")}
+        marks, passed = self.ends["[>\"']"], []
+        found = -1
+        while (k := bisect_left(marks, at)) < len(marks):
+            mark = marks[k]
+            if mark in self.known:
+                found = self.known[mark]
+                break
+            passed.append(mark)
+            if self.page[mark] == ">":
+                found = mark
+                break
+            same = self.ends[self.page[mark]]
+            if (n := bisect_right(same, mark)) == len(same):
+                break
+            at = same[n] + 1
+        for mark in passed:
+            self.known[mark] = found
+        return found
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str, int, int]]:
+        search = self.at
+        while (m := _MARKUP.search(self.page, search)) is not None:
+            if not m[2]:
+                yield "", False, "", m.start(), m.end()
+                search = self.at = m.end()
+            elif (end := self.close(m.end())) < 0:
+                search = m.start() + 1
+            else:
+                self.at = end + 1  # the reader may move it on
+                yield m[2].lower(), bool(m[1]), self.page[m.end() : end], m.start(), end + 1
+                search = self.at
+
+
 def _number(text: str | None, default: int, low: int, high: int) -> int:
     m = re.match(r"\s*([+-]?\d{1,9})", text or "")
     return min(high, max(low, int(m[1]))) if m else default
 
 
-def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+def table_lines(rows: list[list[tuple[list[str], int, int]]], pad: int = PAD) -> list[str]:
     """Rows of cells as lines: columns start at the same place, a cell's further lines stand below its first."""
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell above still covers
@@ -156,7 +226,7 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 column += 1
             placed[column] = lines
             if across == 1:
-                width[column] = max(width.get(column, 0), min(PAD, max(map(len, lines), default=0)))
+                width[column] = max(width.get(column, 0), min(pad, max(map(len, lines), default=0)))
             for c in range(column, column + across):
                 if down > 1:
                     taken[c] = down - 1
@@ -180,7 +250,7 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     return out
 
 
-def render(page: str) -> str:
+def render(page: str, pad: int = PAD) -> str:
     """The visible text of an HTML page; "" for a page without any.
 
     Hidden are elements that never show (head, scripts, templates, media),
@@ -188,26 +258,33 @@ def render(page: str) -> str:
     closed dialogs and what closed details hold besides their summary; text
     under ``visibility:hidden`` unless an inner element is visible again.
     White space collapses outside ``pre`` and ``textarea``.  Unclosed elements
-    end with the page, unmatched end tags are skipped.
+    end with the page, unmatched end tags are skipped.  Pages of any length
+    and depth are rendered in whole; only indentation and the layout of tables
+    within tables end at a depth, and columns are padded to *pad* characters.
     """
-    root = Element("html", True, True, False, "", Flow())
+    root = Element("html", True, True, False, 0, Flow())
     stack = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # where each tag is open in the stack, but for the root
+    tables: list[Element] = []  # open tables that are laid out
+
+    def last(tags: frozenset[str]) -> int:
+        """Stack position of the innermost element of *tags*, or 0."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def close(at: int) -> None:
         """End the elements from stack position *at* on."""
         while len(stack) > at:
             e = stack.pop()
+            places[e.tag].pop()
             up = stack[-1]
             if e.tag in ("td", "th") and e.flow is not up.flow:
-                table = next((t for t in reversed(stack) if t.rows is not None), None)
-                if table is not None and e.shown:
-                    if not table.rows:
-                        table.rows.append([])
-                    table.rows[-1].append((e.flow.finish(), e.count, e.ordered))
-            elif e.rows is not None and e.shown:
-                lines = table_lines(e.rows)
+                if not tables[-1].rows:
+                    tables[-1].rows.append([])
+                tables[-1].rows[-1].append((e.flow.finish(), e.count, e.ordered))
+            elif e.rows is not None:
+                tables.pop()
                 e.flow.gap()
-                for line in lines:
+                for line in table_lines(e.rows, pad):
                     e.flow.start(e.indent)
                     if line:
                         e.flow.parts.append(line)
@@ -222,15 +299,10 @@ def render(page: str) -> str:
                     e.flow.prefix = ""
                 e.flow.gap() if e.tag in SPACED and not (e.tag in ("ul", "ol") and up.tag == "li") else e.flow.end()
 
-    def position(tags: frozenset[str] | set[str], barrier: frozenset[str]) -> int:
+    def position(tags: frozenset[str], barrier: frozenset[str]) -> int:
         """Stack position of the outermost element of *tags* above the barrier, or 0."""
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                found = i
-            elif stack[i].tag in barrier:
-                break
-        return found
+        wall = last(barrier)
+        return min((p[k] for t in tags if (p := places[t]) and (k := bisect_right(p, wall)) < len(p)), default=0)
 
     def text(data: str) -> None:
         while stack[-1].tag == "head" and data.strip():
@@ -245,36 +317,33 @@ def render(page: str) -> str:
     def open_(tag: str, attrs: dict[str, str]) -> None:
         while stack[-1].tag == "head" and tag not in IN_HEAD:
             close(len(stack) - 1)
-        if tag in CELLS and not any(e.tag == "table" for e in reversed(stack)):
+        if tag in CELLS and not places["table"]:
             return
-        if tag in CLOSES_P and (at := position({"p"}, BARRIER)):
+        if tag in CLOSES_P and (at := position(_P, BARRIER)):
             close(at)
         if tag in IMPLIED and (at := position(*IMPLIED[tag])):
             close(at)
         if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
             close(len(stack) - 1)
         up = stack[-1]
-        style = attrs.get("style", "").lower().replace(" ", "")
-        shown = up.shown and not (up.folded and tag != "summary") and tag not in HIDDEN and "hidden" not in attrs and "display:none" not in style and not (tag == "dialog" and "open" not in attrs) and not (tag == "input" and attrs.get("type", "").lower() == "hidden")
+        style = declarations(attrs["style"]) if "style" in attrs else {}
+        shown = up.shown and not (up.folded and tag != "summary") and tag not in HIDDEN and "hidden" not in attrs and style.get("display") != "none" and style.get("content-visibility") != "hidden" and not (tag == "dialog" and "open" not in attrs) and not (tag == "input" and attrs.get("type", "").lower() == "hidden")
         foreign = (up.foreign or tag in ("svg", "math")) and tag != "foreignobject"
         shown = shown and not (foreign and tag in HIDDEN_FOREIGN)
-        visible = up.visible
-        if "visibility:" in style:
-            visible = "visibility:visible" in style
+        visible = {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(style.get("visibility", ""), up.visible)
         e = Element(tag, shown, visible, up.pre or tag in ("pre", "textarea"), up.indent, up.flow)
         e.folded = tag == "details" and "open" not in attrs
         e.foreign = foreign
         if shown:
             if tag == "text" and foreign:
                 e.flow.end()
-            elif tag in ("td", "th"):
-                e.flow, e.indent = Flow(), ""
-                e.count, e.ordered = _number(attrs.get("colspan"), 1, 1, 1000), _number(attrs.get("rowspan"), 1, 1, 65534)
-            elif tag == "tr":
-                table = next((t for t in reversed(stack) if t.rows is not None), None)
-                if table is not None:
-                    table.rows.append([])
-            elif tag == "table":
+            elif tag in ("td", "th", "tr") and stack[places["table"][-1]].rows is not None:
+                if tag == "tr":
+                    tables[-1].rows.append([])
+                else:
+                    e.flow, e.indent = Flow(), 0
+                    e.count, e.ordered = _number(attrs.get("colspan"), 1, 1, 1000), _number(attrs.get("rowspan"), 1, 1, 65534)
+            elif tag == "table" and len(tables) < TABLES:
                 e.rows = []
                 e.flow.gap()
             elif tag == "br":
@@ -282,51 +351,54 @@ def render(page: str) -> str:
                     e.flow.blank = True
                 e.flow.end()
             elif tag in BLOCK:
-                nested = tag in ("ul", "ol") and any(x.tag == "li" for x in stack)
+                nested = tag in ("ul", "ol") and bool(places["li"])
                 e.flow.gap() if tag in SPACED and not nested else e.flow.end()
-                if tag in ("ul", "ol", "menu", "dir"):
+                if tag in _LISTS:
                     e.ordered, e.count = tag == "ol", _number(attrs.get("start"), 1, -(10**9), 10**9)
                     if nested:
-                        e.indent += "  "
+                        e.indent += 1
                 elif tag == "li":
-                    of = next((x for x in reversed(stack) if x.tag in ("ul", "ol", "menu", "dir")), None)
-                    if of is not None and of.ordered:
+                    of = stack[last(_LISTS)]
+                    if of.ordered:
                         of.count = _number(attrs.get("value"), of.count, -(10**9), 10**9)
                         e.flow.prefix = f"{of.count}. "
                         of.count += 1
                     else:
                         e.flow.prefix = "- "
                 elif tag in ("blockquote", "dd"):
-                    e.indent += "  "
+                    e.indent += 1
         if tag not in VOID:
+            places[tag].append(len(stack))
             stack.append(e)
+            if e.rows is not None:
+                tables.append(e)
 
     at = 0
-    while (m := _MARKUP.search(page, at)) is not None:
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    tags = Tags(page)
+    for tag, ends, source, start, end in tags:
+        if start > at:
+            text(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if ends:
             if tag == "br":
                 open_("br", {})
-            elif tag == "p" and not position({"p"}, BARRIER):
+            elif tag == "p" and not position(_P, BARRIER):
                 open_("p", {})
                 close(len(stack) - 1)
-            elif (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or stack[i].tag in BARRIER and tag not in BARRIER), 0)) and stack[i].tag == tag:
-                close(i)
+            elif places[tag] and (tag in BARRIER or places[tag][-1] > last(BARRIER)):
+                close(places[tag][-1])
             continue
-        open_(tag, attributes(m[3]) if m[3] and not m[3].isspace() else {})
-        if m[3].endswith("/") and stack[-1].foreign and stack[-1].tag == tag:
+        open_(tag, attributes(source) if source and not source.isspace() else {})
+        if source.endswith("/") and stack[-1].foreign and stack[-1].tag == tag:
             close(len(stack) - 1)
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            text(page[at : end.start()])
+        if tag in RAW and stack[-1].tag == tag:
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            text(page[at : m.start() if m else len(page)])
             close(len(stack) - 1)
-            at = end.end()
+            tags.at = at = page.find(">", m.end()) + 1 or len(page) if m else len(page)
     text(page[at:])
     close(1)
     return "\n".join(root.flow.finish())
