@@ -341,8 +341,8 @@ def test_code_lengths_match_the_recursion(spark, depth):
     texts = ["abracadabra abracadabra", "the cat sat on the mat", "é", "", None, "abracadabra", "the cat sat on the mat", "x" * 40]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     want = _ctw_by_hand(texts, depth)
-    for most in (ctw.BROADCAST_GRAMS, 0):
-        got = {r["doc_id"]: r for r in ctw.score(df, depth=depth, broadcast_grams=most).collect()}
+    for most in (ctw.MAPPED_GRAMS, 0):
+        got = {r["doc_id"]: r for r in ctw.score(df, depth=depth, mapped_grams=most).collect()}
         for i, t in enumerate(texts):
             assert got[i]["n_bytes"] == (None if t is None else len(t.encode()))
             assert got[i]["code_bits"] == (None if t is None else pytest.approx(want[i], rel=1e-7))
@@ -350,17 +350,12 @@ def test_code_lengths_match_the_recursion(spark, depth):
 
 
 def test_default_scores_know_dependences_of_six_bytes(spark):
-    from tierlens.llm.queries import QUERIES
-
     texts = [f"{c}same-{c}" for c in "abcdefgh"] * 5
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     want, shallow = _ctw_by_hand(texts, 6), _ctw_by_hand(texts, 3)
     got = {r["doc_id"]: r["code_bits"] for r in ctw.score(df).collect()}
     assert all(got[i] == pytest.approx(want[i], rel=1e-7) for i in got)
     assert sum(got.values()) < 0.9 * sum(shallow)
-    deep = {r["doc_id"]: r["bits_per_byte"] for r in QUERIES["op9_lm_score_deep"](spark, SF).collect()}
-    flat = {r["doc_id"]: r["bits_per_byte"] for r in QUERIES["op9_lm_score"](spark, SF).collect()}
-    assert deep.keys() == flat.keys() and sum(v for v in deep.values() if v) < 0.9 * sum(v for v in flat.values() if v)
 
 
 def test_scores_of_odd_rows_and_of_noise(spark):

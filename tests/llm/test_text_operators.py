@@ -185,31 +185,58 @@ def test_ids_are_those_of_the_library(spark, processor):
         assert fst.decode(ids) == processor.decode(ids)
 
 
-def test_unigram_paths_are_shortest(tmp_path):
-    """The model's pieces with unigram weights: the path has the least cost of all segmentations of short words."""
+def _odd_texts(spark):
+    rng = random.Random(5)
+    odd = ["", " ", "  a   ", "a\nb\tc", "你好𝔘é", "<s> x </s>", "▁a a", "a\x00b", "<0x41>", "aaaa aaaaaaaaa", "x" * 300, "ﬁne  Ⅳ　x", "cafe\u0301 ½ ㍿", "𝔘 𝔘𝔘 a𝔘", "▁", " ▁ "]
+    odd += ["".join(rng.choice("abc dé\n▁ 你<>0%eth inger,.ﬁ\u0301𝔘Ⅳ　") for _ in range(rng.randrange(1, 80))) for _ in range(800)]
+    return odd + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def test_whole_batches_give_the_ids_of_the_library(spark, processor):
+    odd = _odd_texts(spark)
+    ids, at, fine = piece_fst.transducer(PIECE_MODEL).encode_all(pa.array(odd))
+    for k, t in enumerate(odd):
+        assert ids[at[k] : at[k + 1]].tolist() == processor.encode(t), t
+        assert fine[k] == (processor.decode(processor.encode(t)) == t.replace("▁", " "))
+
+
+@pytest.mark.parametrize("bytes_", [True, False])
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
+def test_unigram_models_with_character_maps_give_the_ids_of_the_library(spark, tmp_path, rule, bytes_):
+    """The public model's pieces as a unigram model with a standard normaliser: the same pieces, texts and round trips."""
+    import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
 
-    model = pb.ModelProto()
+    model, norm = pb.ModelProto(), pb.ModelProto()
     model.ParseFromString(open(PIECE_MODEL, "rb").read())
-    model.trainer_spec.model_type = 1
+    norm.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.CopyFrom(norm.normalizer_spec)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, bytes_
+    rng = random.Random(2)
+    kept = []
+    for p in model.pieces:
+        p.score = -5 - len(p.piece) * 0.5 - 10 * rng.random() if p.type == 1 else p.score
+        kept += [p] if bytes_ or p.type != 6 else []
+    kept = [pb.ModelProto.SentencePiece.FromString(p.SerializeToString()) for p in kept]
+    del model.pieces[:]
+    model.pieces.extend(kept)
     path = tmp_path / "unigram.model"
     path.write_bytes(model.SerializeToString())
-    fst = piece_fst.compile_model(str(path))
-    assert not fst.bpe
-    name = {i: p for p, i in fst.pieces.items()}
-
-    def cheapest(word):
-        best = [0.0] + [math.inf] * len(word)
-        for end in range(1, len(word) + 1):
-            for start in range(end):
-                w = fst.weight.get(word[start:end], piece_fst.UNCOVERED if end - start == 1 else math.inf)
-                best[end] = min(best[end], best[start] + w)
-        return best[-1]
-
-    for word in ("▁the", "▁garden", "▁unbelievable", "▁x𝔘y", "▁tokenisation,"):
-        ids = fst.shortest(word)
-        pieces = [name[i] for i in ids if i in name]
-        assert sum(fst.weight[p] for p in pieces) + (piece_fst.UNCOVERED if "𝔘" in word else 0) == pytest.approx(cheapest(word))
+    library, fst = sentencepiece.SentencePieceProcessor(model_file=str(path)), piece_fst.compile_model(str(path))
+    assert not fst.bpe and bool(fst.mapping) == (rule != "identity")
+    odd = _odd_texts(spark)
+    odd, equal, cost = odd[:300] + odd[-20:], 0, {i: fst.weight[p] for p, i in fst.pieces.items()}
+    ids, at, fine = fst.encode_all(pa.array(odd))
+    for k, t in enumerate(odd):
+        want = library.encode(t)
+        assert fst.normalise(t) == library.normalize(t), t
+        got = fst.encode(t)
+        assert ids[at[k] : at[k + 1]].tolist() == got
+        assert got == want or abs(sum(cost.get(i, 0) for i in got) - sum(cost.get(i, 0) for i in want)) < 1e-3, t  # equal weights
+        equal += got == want
+        assert fst.decode(want) == (library.decode(want).lstrip(" ") if fst.trims else library.decode(want))
+        assert fine[k] == (fst.decode(got) == fst.rewritten(t).replace("▁", " "))
+    assert equal >= 0.95 * len(odd)
 
 
 def test_encoding_of_odd_rows(spark):

@@ -27,6 +27,8 @@ def test_engine_runs_sql_and_reports(spark, tmp_path):
     assert engine.spark.table("slim").columns == ["o_orderkey", "o_orderstatus"]
     assert "Scan parquet" in engine.execution_plans()[0][1] or "FileScan" in engine.execution_plans()[0][1]
     assert engine.cache_info() == {"batch_rows": 1024, "memory_budget": 5000, "disk_budget": 10_000}
+    assert 0 < engine.cache_usage()["memory_bytes"] <= 5000
+    engine.reset_cache()
     engine.registry.insert(EntryId("orders", "o_orderkey"), spark.table("orders"), size=100)
     assert engine.cache_usage()["memory_bytes"] == 100 and engine.system_info()["spark"]
     engine.cache_stats(str(tmp_path / "stats"))
@@ -280,3 +282,104 @@ def test_dictionary_codes_follow_byte_order(spark):
     d = spark.createDataFrame([("b",), ("a",), (None,), ("é",), ("b",), ("x" * 300,)], "t string")
     rows = {r["t"]: (r["code"], r["size"]) for r in enc.dictionary(d, "t").collect()}
     assert rows == {"a": (0, 1), "b": (1, 1), "x" * 300: (2, 255), "é": (3, 2), None: (None, None)} or rows[None][0] is None
+
+
+# SQL through the cache
+
+SQLS = (
+    "select extract(year from o_orderdate) as y, count(*) as n from orders group by 1",
+    "select extract(year from o_orderdate) as y, extract(day from o_orderdate) as d, max(o_totalprice) as t from orders where o_orderstatus = 'F' group by 1, 2",
+    "select extract(dow from o_orderdate) as w, count(*) as n from orders group by 1",
+    "select max(o_orderdate) as latest, extract(month from o_orderdate) as m from orders group by 2",
+    "select event_type, variant_get(data, '$.k', 'int') as k from feed where event_type like '%lic%'",
+    "select data::string as whole, variant_get(data, '$.k', 'int') as k from feed where variant_get(data, '$.k', 'int') > 90",
+    "select o_orderstatus, count(*) as n from orders join feed on o_orderkey = event_id where variant_get(data, '$.k', 'int') < 50 group by 1",
+    "select count(*) as n from orders where o_totalprice > (select avg(o_totalprice) from orders)",
+    "select o_orderstatus, extract(year from o_orderdate) as y, count(*) as n from orders group by rollup (o_orderstatus, extract(year from o_orderdate))",
+)
+
+
+def _engine(spark, **kw):
+    builder = EngineBuilder(**kw)
+    engine = builder.build(spark)
+    engine.register_parquet("orders", f"{SF}/orders.parquet")
+    engine.register("feed", spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type", F.parse_json("props").alias("data")))
+    return engine
+
+
+@pytest.mark.parametrize("policy", ["evict", "transcode_evict", "transcode_squeeze_evict"])
+@pytest.mark.parametrize("memory", [20_000, 200_000, 1 << 30])
+def test_sql_is_the_same_whatever_the_cache_holds(spark, policy, memory):
+    """Nine queries, cold, warm and squeezed, under each policy and budget."""
+    engine = _engine(spark, memory=memory, policy=policy)
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = [rows(spark.sql(q)) for q in SQLS]
+    for step in ("cold", "warm", "squeezed"):
+        assert [rows(engine.sql(q)) for q in SQLS] == want, step
+        assert engine.registry.memory_used() <= memory
+        engine.registry.squeeze()
+    assert engine.registry.counters["fallback"] == 0
+    engine.reset_cache()
+
+
+def test_sql_reads_the_derived_column_when_warm(spark):
+    engine = _engine(spark, hydrate=False)
+    engine.sql(SQLS[0])
+    whole = engine.cache_usage()["memory_bytes"]
+    engine.registry.squeeze()
+    plan = engine.sql(SQLS[0])._jdf.queryExecution().sparkPlan().toString()
+    assert "InMemoryTableScan [o_orderdate_year" in plan
+    assert 0 < engine.cache_usage()["memory_bytes"] < whole
+    assert "o_orderdate_year" not in engine.sql(SQLS[3])._jdf.queryExecution().sparkPlan().toString().split("InMemoryRelation")[0]
+    assert engine.registry.counters["squeezed_hit"] == 1
+    engine.reset_cache()
+
+
+def test_usage_is_what_the_block_manager_reports(spark):
+    engine = _engine(spark)
+    for q in SQLS:
+        engine.sql(q)
+    infos = list(spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    assert engine.cache_usage() == {"memory_bytes": sum(i.memSize() for i in infos), "disk_bytes": sum(i.diskSize() for i in infos)}
+    assert engine.cache_usage()["memory_bytes"] > 0
+    engine.reset_cache()
+
+
+def test_predicate_hints_do_not_squeeze(spark):
+    registry = Registry(spark, memory=450, hydrate=False)
+    data = spark.range(100).withColumnRenamed("id", "a")
+    registry.insert(EntryId("t", "a"), data, size=400, hint=Hint("predicate"))
+    registry.insert(EntryId("u", "a"), data, size=400)
+    assert registry.entries[EntryId("t", "a")].tier == DISK
+
+
+# Encodings of values with nulls and extremes
+
+
+def test_delta_and_frame_keep_nulls_and_extremes(spark):
+    values = [None, 1, None, 3, 7, None, -(2**62), None] + [2**63 - 1, -(2**63), None, 0] + [5, 5, None, 9]
+    df = spark.createDataFrame([(i, i // 8 if i < 8 else i // 4 + 10, i % 8, v) for i, v in enumerate(values)], "i int, batch int, pos int, v bigint")
+    small = df.where("v is null or abs(try_divide(v, 4)) < 4611686018427387904 and v > -9223372036854775808 and v < 9223372036854775807")
+    back = enc.undelta(enc.delta(small, "v")).collect()
+    assert len(back) > 8 and all(r["value"] == r["v"] for r in back)
+    framed = enc.frame_of_reference(df, "v").collect()
+    assert all(r["v"] is None and r["off"] is None or r["ref"] + r["off"] == r["v"] for r in framed)
+    assert {r["width"] for r in framed} >= {64}
+    for op in enc.COMPARE:
+        for k in (-(2**63), -5, 0, 3, 2**63 - 1):
+            for squeezed, decide in ((enc.quantize, enc.decide_quantized), (enc.clamp, enc.decide_clamped)):
+                got = enc.filter_squeezed(squeezed(enc.frame_of_reference(df, "v")), df, "i", "v", op, k, decide).collect()
+                assert sorted(r["i"] for r in got) == [i for i, v in enumerate(values) if v is not None and eval(f"v {({'=': '==', '<>': '!='}).get(op, op)} k")]
+
+
+def test_scaled_comparisons_and_exponents(spark):
+    floats = [0.25, 1.5, None, -3.125, float("nan"), float("inf"), 1 / 3, 1e300, 2.0]
+    df = spark.createDataFrame([(i, 0, i, f) for i, f in enumerate(floats)], "i int, batch int, pos int, f double")
+    assert enc.alp_places(df, "f") == 3
+    base = df.withColumn("v", enc.alp_integer(F.col("f"), 3))
+    assert [r["v"] for r in base.orderBy("i").collect()] == [250, 1500, None, -3125, None, None, None, None, 2000]
+    for op in ("=", "<>", "<", "<=", ">", ">="):
+        for k in (1.5, 0.2503, -3.125):
+            squeezed = enc.quantize(enc.frame_of_reference(base, "v"))
+            got = enc.filter_squeezed(squeezed, base, "i", "f", op, k, lambda op, k: enc.decide_scaled(op, k, 3)).collect()
+            assert sorted(r["i"] for r in got) == sorted(r["i"] for r in df.where(enc.COMPARE[op](F.col("f"), F.lit(k))).collect())

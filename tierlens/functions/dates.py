@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,16 @@ def to_timestamp_micros(value: Column) -> Column:
     return F.timestamp_micros(value).cast("timestamp_ntz")
 
 
+def seconds_compare(seconds: Column, op: str, ts: datetime) -> Column:
+    """``to_timestamp_seconds(seconds) op ts`` on whole seconds, as a comparison of the column itself, which scans can push down."""
+    micros_ = (ts - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    whole, rest = divmod(micros_, 1_000_000)
+    if op in ("=", "<>") and rest:
+        return F.when(seconds.isNotNull(), F.lit(op == "<>"))
+    limit = F.lit(whole + (1 if rest and op in ("<", ">=") else 0))
+    return {"=": seconds == limit, "<>": seconds != limit, "<": seconds < limit, "<=": seconds <= limit, ">": seconds > limit, ">=": seconds >= limit}[op]
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone, read as UTC."""
     return F.unix_micros(F.to_utc_timestamp(ts, "UTC"))

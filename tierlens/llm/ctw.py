@@ -12,18 +12,24 @@ task computes; of the two depths above there are at most 65,280 and 255
 contexts, which are aggregated and sent to all.  The result is the code length
 of every gram of the corpus, from which documents are scored without a shuffle.
 
-With six bytes of context the grams grow with the corpus; up to
-``broadcast_grams`` their code lengths travel to the workers (16 bytes each, 12
-up to depth three), beyond that documents are joined to them.
+With six bytes of context the grams grow with the corpus.  Up to
+``mapped_grams`` their code lengths (16 bytes each) are a sorted table that
+Spark's file distribution brings to every executor, whose workers map it into
+memory together; beyond that documents are joined to them.  The driver never
+holds any.
 """
 
 from __future__ import annotations
 
+import fcntl
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +37,8 @@ from .common import by_bytes, flat, fresh, slices, stored
 
 #: Bytes of context, the most that a gram's code holds.
 DEPTH = 6
-BROADCAST_GRAMS = 20_000_000
+#: Code lengths that an executor's disk and page cache hold: 16 GB.
+MAPPED_GRAMS = 1_000_000_000
 
 
 def grams(texts: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -108,64 +115,63 @@ def _steps(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
 
 
-def _deep(depth: int):
-    """Rows of (code, n), whole groups of the same two last context bytes together -> chances below depth two, and the contexts of depth two."""
-
-    def solve(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        node, bit = _steps(code)
-        keys, at = np.unique((((code >> 8) << 8)[None, :] | node).ravel(), return_inverse=True)
-        weight = np.broadcast_to(n, node.shape).ravel().astype(float)
-        ones = np.bincount(at, weight * bit.ravel(), len(keys))
-        zeros = np.bincount(at, weight, len(keys)) - ones
-        chance = ((ones + 0.5) / (zeros + ones + 1))[at]
-        pw = kt(zeros, ones)
-        for d in range(depth - 1, 1, -1):
-            keys, up = np.unique(keys & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
-            zeros, ones, deeper = (np.bincount(up, x, len(keys)) for x in (zeros, ones, pw))
-            pw, stop, q = weigh(zeros, ones, deeper)
-            at = up[at]
-            chance = stop[at] * q[at] + (1 - stop[at]) * chance
-        g, m = len(code), len(keys)
-        ends = np.concatenate([np.arange(g + 1) * 8, np.full(m, 8 * g)]).astype(np.int32)
-        none = np.concatenate([np.zeros(g, bool), np.ones(m, bool)])
-        fill = lambda x, kind: pa.array(np.concatenate([np.zeros(g), x]).astype(kind), mask=~none)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([code, np.zeros(m, np.int64)]), mask=none), pa.ListArray.from_arrays(pa.array(ends), pa.array(chance.reshape(8, g).T.ravel()))]
-            + [fill(keys >> 8, np.int32), fill(keys & 255, np.int32), fill(zeros, np.int64), fill(ones, np.int64), fill(pw, float)],
-            names=["code", "chances", "ctx", "node", "n0", "n1", "pw"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            held.append(np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()]))
-            if sum(x.shape[1] for x in held) >= 200_000:
-                rows = np.concatenate(held, 1)
-                group = (rows[0] >> 8) & 0xFFFF
-                cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
-                if cut:
-                    yield solve(rows[0, :cut], rows[1, :cut])
-                held = [rows[:, cut:]]
-        if held and sum(x.shape[1] for x in held):
+def _deep(code: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """(chances of a one [8, grams] below depth two, and of the contexts of depth two: context and node, zeros, ones, log weighted probability), of whole groups."""
+    node, bit = _steps(code)
+    keys, at = np.unique((((code >> 8) << 8)[None, :] | node).ravel(), return_inverse=True)
+    weight = np.broadcast_to(n, node.shape).ravel().astype(float)
+    ones = np.bincount(at, weight * bit.ravel(), len(keys))
+    zeros = np.bincount(at, weight, len(keys)) - ones
+    chance = ((ones + 0.5) / (zeros + ones + 1))[at]
+    pw = kt(zeros, ones)
+    for d in range(depth - 1, 1, -1):
+        keys, up = np.unique(keys & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        zeros, ones, deeper = (np.bincount(up, x, len(keys)) for x in (zeros, ones, pw))
+        pw, stop, q = weigh(zeros, ones, deeper)
+        at = up[at]
+        chance = stop[at] * q[at] + (1 - stop[at]) * chance
+    return chance.reshape(8, -1), keys, zeros, ones, pw
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, n) of whole groups of the same two last context bytes, some at a time, from rows sorted by group."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()]))
+        if sum(x.shape[1] for x in held) >= most:
             rows = np.concatenate(held, 1)
-            yield solve(rows[0], rows[1])
-
-    return run
+            group = (rows[0] >> 8) & 0xFFFF
+            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
+            if cut:
+                yield rows[0, :cut], rows[1, :cut]
+            held = [rows[:, cut:]]
+    if held and sum(x.shape[1] for x in held):
+        rows = np.concatenate(held, 1)
+        yield rows[0], rows[1]
 
 
 def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(code, bits): code length of a gram's last byte after the others, given the counts of all grams.
+    """(code, bits): code length of a gram's last byte after the others, given the stored counts of all grams.
 
     At a node on the path the chance of a one is ``w * (n1 + 1/2) / (n + 1) +
     (1 - w) * that of the next deeper context``, w being the posterior weight
-    of stopping; at full depth it is the estimate itself.
+    of stopping; at full depth it is the estimate itself.  The deep trees are
+    computed twice, once for the contexts above them and once for the result:
+    that takes less than to store eight chances a gram.  Rows come by group,
+    then code, each group in one partition.
     """
     if not 2 <= depth <= 6:
         raise ValueError("the depth must be from 2 to 6")
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n in _groups(batches):
+            _, keys, zeros, ones, pw = _deep(code, n, depth)
+            columns = ((keys >> 8) & 255).astype(np.int32), (keys & 255).astype(np.int32), zeros.astype(np.int64), ones.astype(np.int64), pw
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["ctx", "node", "n0", "n1", "pw"])
+
     group = F.shiftright("code", 8).bitwiseAND(0xFFFF)
     rows = counts.select(group.alias("group"), "code", "n").repartition("group").sortWithinPartitions("group", "code")
-    deep = stored(rows.mapInArrow(_deep(depth), "code bigint, chances array<double>, ctx int, node int, n0 bigint, n1 bigint, pw double"), "ctw-deep")
-    one = deep.where("code is null").groupBy(F.col("ctx").bitwiseAND(255).alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("deeper")).orderBy("ctx", "node").toPandas()
+    one = rows.mapInArrow(above, "ctx int, node int, n0 bigint, n1 bigint, pw double").groupBy("ctx", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("deeper")).orderBy("ctx", "node").toPandas()
     stop, chance = np.zeros((2, 256, 256)), np.zeros((2, 256, 256))
     if len(one):
         c, node, n0, n1 = one["ctx"].to_numpy(np.int64), one["node"].to_numpy(np.int64), one["n0"].to_numpy(float), one["n1"].to_numpy(float)
@@ -174,24 +180,57 @@ def code_lengths(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         _, w, q = weigh(np.bincount(up, n0), np.bincount(up, n1), np.bincount(up, pw))
         stop[0][:, zero], chance[0][:, zero] = w, q
 
-    top = deep.sparkSession.sparkContext.broadcast((stop, chance))
+    top = counts.sparkSession.sparkContext.broadcast((stop, chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop, chance = top.value
-        for batch in batches:
-            code = batch.column(0).to_numpy()
-            p = batch.column(1).flatten().to_numpy().reshape(-1, 8).T
+        for code, n in _groups(batches):
+            p = _deep(code, n, depth)[0]
             node, bit = _steps(code)
             for d in (1, 0):
                 at = ((code >> 8) & 255)[None, :], node
                 p = stop[d][at] * chance[d][at] + (1 - stop[d][at]) * p
             bits = -np.log2(np.where(bit == 1, p, 1 - p)).sum(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["code", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(bits)], names=["code", "bits"])
+
+    return rows.mapInArrow(run, "code bigint, bits double")
 
-    return deep.where("code is not null").select("code", "chances").mapInArrow(run, "code bigint, bits double")
 
+def _key(code: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A gram's place in the mapped table: by its group's rank, then by its code."""
+    return rank[(code >> 8) & 0xFFFF] << 40 | (code >> 24) << 8 | code & 255
 
-def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+
+def _mapped(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank of each group, keys, bits) of the distributed Parquet files, each of which holds whole groups.
+
+    The executor's first worker writes them out as arrays, all of its workers
+    map these.  An executor that takes another's place gets the files anew.
+    """
+    base = SparkFiles.get(names[0])
+    with open(base + ".lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)  # released with the file, also if the worker dies
+        if not os.path.exists(base + ".rank"):
+            rank, next_ = np.zeros(1 << 16, np.int64), 0
+            with open(base + ".keys", "wb") as keys, open(base + ".bits", "wb") as bits:
+                for name in names:
+                    last = -1
+                    for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches():
+                        code = batch.column(0).to_numpy()
+                        group = (code >> 8) & 0xFFFF
+                        new = group[np.flatnonzero(np.diff(group, prepend=last))]
+                        rank[new] = np.arange(next_, next_ + len(new))
+                        next_, last = next_ + len(new), int(group[-1])
+                        keys.write(_key(code, rank).tobytes())
+                        bits.write(batch.column(1).to_numpy().tobytes())
+            rank.tofile(base + ".part")
+            os.rename(base + ".part", base + ".rank")
+            for name in names:
+                os.truncate(SparkFiles.get(name), 0)
+    return np.fromfile(base + ".rank", np.int64), np.memmap(base + ".keys", np.int64, "r"), np.memmap(base + ".bits", np.float64, "r")
+
+
+def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, mapped_grams: int = MAPPED_GRAMS) -> DataFrame:
     """*docs* with ``n_bytes``, ``code_bits`` and ``bits_per_byte`` under the trees of all of *docs*.
 
     A null text has nulls; an empty one no bytes, 0 bits and null per byte.
@@ -201,13 +240,15 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, broadcast_gra
     names = [fresh(docs, c) for c in ("n_bytes", "code_bits", "bits_per_byte")]
     table = stored(code_lengths(stored(gram_counts(docs, text, depth), "ctw-grams"), depth), "ctw-bits")
     tmp = fresh(by_bytes(docs), "ctw")
-    if table.count() <= broadcast_grams:
-        found = table.orderBy("code").toArrow()
-        kind = np.uint32 if depth <= 3 else np.uint64
-        known = docs.sparkSession.sparkContext.broadcast((found["code"].to_numpy().astype(kind), found["bits"].to_numpy()))
+    rows = table.count()
+    if 0 < rows <= mapped_grams:
+        files = table.inputFiles()
+        for f in files:
+            docs.sparkSession.sparkContext.addFile(f)
+        parts = [f.rpartition("/")[2] for f in files]
 
         def run(texts: pa.Array) -> pa.Array:
-            codes, bits = known.value
+            rank, keys, bits = _mapped(parts)
             sizes, sums = [], []
             for part in slices(texts):
                 code, at = grams(part, depth)
@@ -216,8 +257,8 @@ def score(docs: DataFrame, text: str = "text", depth: int = DEPTH, broadcast_gra
                 if len(code):
                     there = size > 0
                     # Sorted grams are found several times faster: their search stays in the cache.
-                    own, back = np.unique(code, return_inverse=True)
-                    total[there] = np.add.reduceat(bits[np.searchsorted(codes, own)][back], at[:-1][there])
+                    own, back = np.unique(_key(code.astype(np.int64), rank), return_inverse=True)
+                    total[there] = np.add.reduceat(bits[np.searchsorted(keys, own)][back], at[:-1][there])
                 sizes.append(size)
                 sums.append(total)
             mask = ~np.array(texts.is_valid(), bool)
@@ -247,30 +288,35 @@ def _joined(docs: DataFrame, table: DataFrame, text: str, depth: int, tmp: str)
     return docs.withColumn(key, F.md5(text)).join(sums, key, "left").withColumn(tmp, F.coalesce(F.col(tmp), empty)).drop(key)
 
 
-def oracle() -> str:
-    """DuckDB SQL for (doc_id, n_bytes, code_bits, bits_per_byte) of documents at depth 3, bits rounded to three places and their mean to six."""
+def oracle(depth: int = DEPTH) -> str:
+    """DuckDB SQL for (doc_id, n_bytes, code_bits, bits_per_byte) of documents, bits rounded to three places and their mean to six."""
     kt_ = "lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1) - ln(pi())"
 
     def level(d: int) -> str:
         keys = ", ".join([*(f"c{k}" for k in range(1, d + 1)), "node"])
         return f"""
 s{d} as (select {keys}, sum(n0) as n0, sum(n1) as n1, sum(pw) as deeper from l{d + 1} group by all),
-l{d} as (select *, greatest(own, deeper) + ln(exp(own - greatest(own, deeper)) + exp(deeper - greatest(own, deeper))) - ln(2) as pw,
+l{d} as materialized (select *, greatest(own, deeper) + ln(exp(own - greatest(own, deeper)) + exp(deeper - greatest(own, deeper))) - ln(2) as pw,
   1 / (1 + exp(least(deeper - own, 700))) as w{d}, (n1 + 0.5) / (n0 + n1 + 1) as q{d} from (select *, {kt_} as own from s{d}) x),"""
 
+    contexts = lambda d: ", ".join(f"c{k}" for k in range(1, d + 1))
+    lags = ", ".join(f"coalesce(lag(c, {k}) over w, 0) as c{k}" for k in range(1, depth + 1))
+    mixed = f"q{depth}"
+    for d in reversed(range(depth)):
+        mixed = f"(w{d} * q{d} + (1 - w{d}) * {mixed})"
+    joins = " ".join(f"join l{d} using ({', '.join([*(f'c{k}' for k in range(1, d + 1)), 'node'])})" for d in reversed(range(depth)))
     return f"""
 with texts as materialized (select row_number() over () as r, doc_id, text from documents),
 bytes as (select r, unnest(l) as c, generate_subscripts(l, 1) as i from (
   select r, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::int) as l from texts) x),
-places as materialized (select r, c, coalesce(lag(c, 1) over w, 0) as c1, coalesce(lag(c, 2) over w, 0) as c2, coalesce(lag(c, 3) over w, 0) as c3 from bytes window w as (partition by r order by i)),
-grams as (select c1, c2, c3, c, count(*)::double as n from places group by all),
+places as materialized (select r, c, {lags} from bytes window w as (partition by r order by i)),
+grams as (select {contexts(depth)}, c, count(*)::double as n from places group by all),
 steps as (select *, (1 << j) | (c >> (8 - j)) as node, (c >> (7 - j)) & 1 as bit from (select *, unnest(range(8))::int as j from grams) x),
-s3 as (select c1, c2, c3, node, sum(n * (1 - bit)) as n0, sum(n * bit) as n1 from steps group by all),
-l3 as (select *, {kt_} as pw, (n1 + 0.5) / (n0 + n1 + 1) as q3 from s3),{level(2)}{level(1)}{level(0)}
-chances as (select c1, c2, c3, node, w0 * q0 + (1 - w0) * (w1 * q1 + (1 - w1) * (w2 * q2 + (1 - w2) * q3)) as p
-  from l3 join (select c1, c2, node, w2, q2 from l2) using (c1, c2, node) join (select c1, node, w1, q1 from l1) using (c1, node) join (select node, w0, q0 from l0) using (node)),
-lengths as (select c1, c2, c3, c, sum(-log2(case when bit = 1 then p else 1 - p end)) as bits from steps join chances using (c1, c2, c3, node) group by all),
-sums as (select r, sum(bits) as bits, count(*) as n from places join lengths using (c1, c2, c3, c) group by r)
+s{depth} as (select {contexts(depth)}, node, sum(n * (1 - bit)) as n0, sum(n * bit) as n1 from steps group by all),
+l{depth} as materialized (select *, {kt_} as pw, (n1 + 0.5) / (n0 + n1 + 1) as q{depth} from s{depth}),{"".join(level(d) for d in reversed(range(depth)))}
+chances as (select {contexts(depth)}, node, {mixed} as p from l{depth} {joins}),
+lengths as (select {contexts(depth)}, c, sum(-log2(case when bit = 1 then p else 1 - p end)) as bits from steps join chances using ({contexts(depth)}, node) group by all),
+sums as (select r, sum(bits) as bits, count(*) as n from places join lengths using ({contexts(depth)}, c) group by r)
 select doc_id, case when text is not null then coalesce(n, 0)::bigint end as n_bytes, case when text is not null then round(coalesce(bits, 0), 3) end as code_bits,
   round(bits / n, 6) as bits_per_byte from texts left join sums using (r)
 """

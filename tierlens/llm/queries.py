@@ -68,17 +68,7 @@ def op8_mixing_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores at the depth of three bytes that the query's SQL states."""
-    return _lm_score(spark, sf_dir, 3)
-
-
-def op9_lm_score_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores at the full depth, whose contexts grow with the corpus."""
-    return _lm_score(spark, sf_dir, ctw.DEPTH)
-
-
-def _lm_score(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
-    scores = ctw.score(table(spark, sf_dir, "documents"), depth=depth)
+    scores = ctw.score(table(spark, sf_dir, "documents"))
     return scores.select("doc_id", "n_bytes", F.round("code_bits", 3).alias("code_bits"), F.round("bits_per_byte", 6).alias("bits_per_byte"))
 
 
@@ -88,7 +78,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op6_pii, op7_quality, op8_mixing, op8_mixing_filled, op9_lm_score, op9_lm_score_deep, op10_html)
+    for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op6_pii, op7_quality, op8_mixing, op8_mixing_filled, op9_lm_score, op10_html)
 }
 
 ORACLES: dict[str, str] = {

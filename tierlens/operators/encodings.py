@@ -9,6 +9,8 @@ it needs the base value.
 
 from __future__ import annotations
 
+from decimal import ROUND_FLOOR, Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,20 +34,27 @@ def bit_width(value: Column) -> Column:
 
 
 def frame_of_reference(df: DataFrame, value: str) -> DataFrame:
-    """Adds ``ref`` (the batch's least value), ``off`` (value - ref) and ``width`` (bits of the largest offset); nulls stay null."""
-    facts = df.groupBy("batch").agg(F.min(value).alias("ref"), F.max(value).alias("top"))
-    return df.join(facts, "batch").withColumns({"off": F.col(value) - F.col("ref"), "width": bit_width(F.col("top") - F.col("ref"))}).drop("top")
+    """Adds ``ref`` (the batch's least value), ``off`` (value - ref) and ``width`` (bits of the largest offset); nulls stay null.
+
+    A batch whose range doesn't fit 63 bits stays as it is: ref 0, off the value, width 64.
+    """
+    facts = df.groupBy("batch").agg(F.min(value).alias("low"), F.max(value).alias("top"))
+    wide = F.col("top").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)") > F.lit(2**63 - 1)
+    ref, width = F.when(wide, 0).otherwise(F.col("low")), F.when(wide, 64).otherwise(bit_width(F.when(~wide, F.col("top") - F.col("low"))))
+    facts = facts.select("batch", ref.cast("bigint").alias("ref"), width.cast("bigint").alias("width"))
+    return df.join(facts, "batch").withColumn("off", F.col(value) - F.col("ref"))
 
 
 def delta(df: DataFrame, value: str) -> DataFrame:
-    """Adds ``delta``: the difference from the batch's value before, the value itself for its first."""
-    before = F.lag(value).over(W.partitionBy("batch").orderBy("pos"))
-    return df.withColumn("delta", F.when(F.col("pos") == 0, F.col(value)).otherwise(F.col(value) - before))
+    """Adds ``delta``: the difference from the batch's last value before that isn't null, the value itself for its first; nulls stay null."""
+    before = F.last(value, ignorenulls=True).over(W.partitionBy("batch").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    return df.withColumn("delta", F.col(value) - F.coalesce(before, F.lit(0)))
 
 
 def undelta(df: DataFrame) -> DataFrame:
-    """Adds ``value``: the running sum of the deltas."""
-    return df.withColumn("value", F.sum("delta").over(W.partitionBy("batch").orderBy("pos")))
+    """Adds ``value``: the running sum of the deltas, null where the delta is."""
+    total = F.sum("delta").over(W.partitionBy("batch").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    return df.withColumn("value", F.when(F.col("delta").isNotNull(), total))
 
 
 def linear_model(df: DataFrame, value: str) -> DataFrame:
@@ -102,26 +111,38 @@ def dictionary(df: DataFrame, value: str) -> DataFrame:
 
 
 def clamp(df: DataFrame) -> DataFrame:
-    """Adds ``sentinel`` and ``clamped``: offsets that don't fit half the width become the sentinel; columns narrower than 8 bits keep theirs (null sentinel)."""
-    sentinel = F.when(F.col("width") >= 8, F.expr("shiftleft(1L, cast(greatest(width div 2, 1) as int)) - 1"))
+    """Adds ``sentinel`` and ``clamped``: offsets that don't fit half the width become the sentinel; batches narrower than 8 bits or not encoded keep theirs (null sentinel)."""
+    sentinel = F.when(F.col("width").between(8, 63), F.expr("shiftleft(1L, cast(greatest(width div 2, 1) as int)) - 1"))
     return df.withColumn("sentinel", sentinel).withColumn("clamped", F.when(F.col("sentinel").isNull() | F.col("off").isNull(), F.col("off")).otherwise(F.least("off", "sentinel")))
 
 
 def quantize(df: DataFrame) -> DataFrame:
-    """Adds ``step`` and ``bucket``: offsets in 2**half equal steps, the last one open."""
+    """Adds ``step`` and ``bucket``: offsets in 2**half equal steps, the last one open; batches not encoded keep steps of 1."""
     facts = df.groupBy("batch").agg(F.max("off").alias("top_off"))
     out = df.join(facts, "batch").withColumn("buckets", F.expr("shiftleft(1L, cast(greatest(width div 2, 1) as int))"))
-    out = out.withColumn("step", F.expr("(top_off + 1 + buckets - 1) div buckets"))
-    bucket = F.when(F.col("off").isNotNull(), F.least(F.expr("off div step"), F.col("buckets") - 1))
+    out = out.withColumn("step", F.expr("case when width = 64 then 1 else (top_off div buckets) + 1 end"))
+    bucket = F.when(F.col("width") == 64, F.col("off")).when(F.col("off").isNotNull(), F.least(F.expr("off div step"), F.col("buckets") - 1))
     return out.withColumn("bucket", bucket).drop("top_off", "buckets")
 
 
 def alp_integer(value: Column, places: int) -> Column:
     """The integer that a float is at *places* decimals, null (an exception, kept as it is) if it isn't exactly that."""
-    scaled = F.round(value * 10**places).cast("bigint")
+    scaled = F.round(value * 10**places).try_cast("bigint")
     return F.when(scaled.cast("double") / 10**places == value, scaled)
 
 
+def alp_places(df: DataFrame, value: str, most: int = 10) -> int:
+    """The fewest decimals at which the fewest values of a column are exceptions."""
+    missed = [F.count(F.when(F.col(value).isNotNull() & alp_integer(F.try_divide(F.col(value), F.lit(1.0)), p).isNull(), 1)) for p in range(most + 1)]
+    found = df.agg(*missed).first()
+    return min(range(most + 1), key=lambda p: (found[p], p))
+
+
+def decimal_integer(value: Column, scale: int) -> Column:
+    """The unscaled integer of a decimal column; null, an exception, beyond 64 bits."""
+    return F.try_multiply(value, F.lit(10**scale).cast("decimal(19,0)")).try_cast("bigint")
+
+
 COMPARE = {
     "=": lambda a, b: a == b,
     "<>": lambda a, b: a != b,
@@ -135,7 +156,7 @@ COMPARE = {
 def decide_clamped(op: str, k: int) -> Column:
     """true, false, or null where only the base value can tell: ``value op k`` on (ref, clamped, sentinel)."""
     value = F.col("ref") + F.col("clamped")
-    limit = F.col("ref") + F.col("sentinel")  # a clamped value is this or more
+    limit = F.try_add(F.col("ref"), F.col("sentinel"))  # a clamped value is this or more
     cut = F.col("sentinel").isNotNull() & (F.col("clamped") == F.col("sentinel"))
     sure = F.lit(k) <= limit if op in ("<", ">=") else F.lit(k) < limit
     return F.when(cut, F.when(sure, F.lit(op in ("<>", ">", ">=")))).otherwise(COMPARE[op](value, F.lit(k)))
@@ -144,7 +165,7 @@ def decide_clamped(op: str, k: int) -> Column:
 def decide_quantized(op: str, k: int) -> Column:
     """As :func:`decide_clamped`, on (ref, bucket, step): a bucket decides if all that it may hold agree."""
     low = F.col("ref") + F.col("bucket") * F.col("step")
-    high = low + F.col("step") - 1
+    high = F.try_add(low, F.col("step") - 1)  # null beyond 64 bits, which decides nothing
     k = F.lit(k)
     outside = (k < low) | (k > high)
     one = (low == high) & (k == low)
@@ -158,6 +179,25 @@ def decide_quantized(op: str, k: int) -> Column:
     }[op]
 
 
+def scaled_comparison(op: str, k: float | Decimal, places: int) -> tuple[str, int] | bool:
+    """The comparison of value * 10**places, an integer, that is ``value op k``; or what it always is."""
+    exact = Decimal(str(k)) * 10**places
+    whole = int(exact.to_integral_value(ROUND_FLOOR))
+    if exact == whole:
+        return op, whole
+    if op in ("=", "<>"):
+        return op == "<>"
+    return ("<=", whole) if op in ("<", "<=") else (">", whole)
+
+
+def decide_scaled(op: str, k: float | Decimal, places: int) -> Column:
+    """As :func:`decide_quantized` for floats and decimals whose integers at *places* decimals are quantised; exceptions need the base value."""
+    found = scaled_comparison(op, k, places)
+    if isinstance(found, bool):
+        return F.when(F.col("bucket").isNotNull(), F.lit(found))
+    return decide_quantized(*found)
+
+
 def filter_squeezed(squeezed: DataFrame, base: DataFrame, key: str, value: str, op: str, k: int, decide=decide_quantized) -> DataFrame:
     """(key, decided) of the rows with ``value op k``: base values are read for the undecided rows only."""
     judged = squeezed.select(key, decide(op, k).alias("verdict"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import platform
+import threading
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.cache import POLICIES, Registry
-from .plans.lineage import Annotation, annotations
+from .operators.cache import POLICIES, CacheFull, Registry
+from .plans.lineage import Annotation, annotations, forms
 from .sources import catalog
 from .sources.ship import ship
 
@@ -81,12 +83,38 @@ class Engine:
     spark: SparkSession
     registry: Registry
     plans: list[tuple[str, str]] = field(default_factory=list)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    lock: threading.Lock = field(default_factory=threading.Lock)
 
     def register_parquet(self, name: str, path: str, schema=None) -> DataFrame:
-        return catalog.register_parquet(self.spark, name, path, schema)
+        return self.register(name, catalog.register_parquet(self.spark, name, path, schema))
+
+    def register(self, name: str, df: DataFrame) -> DataFrame:
+        """Make *df* a table whose columns the cache may hold."""
+        df.createOrReplaceTempView(name)
+        self.tables[name] = df
+        return df
 
     def sql(self, text: str) -> DataFrame:
+        """The query over registered tables, answered from the cache: its analysed plan tells which columns it
+        uses and how, the registry holds these from the first such query on, and the query is bound to what is held.
+
+        Queries whose use of columns can't be followed (subqueries, windows)
+        run on the tables as they are.
+        """
         df = self.spark.sql(text)
+        wanted = {t: columns for t, columns in forms(df).items() if t in self.tables}
+        if wanted:
+            with self.lock:
+                try:
+                    for t, columns in wanted.items():
+                        self.registry.table(t, self.tables[t], columns).createOrReplaceTempView(t)
+                    df = self.spark.sql(text)
+                except (AnalysisException, CacheFull):  # a column that the walk over the plan didn't see, or no room
+                    self.registry.counters["fallback"] += 1
+                finally:
+                    for t in wanted:
+                        self.tables[t].createOrReplaceTempView(t)
         self.plans.append((text, df._jdf.queryExecution().simpleString()))
         return df
 

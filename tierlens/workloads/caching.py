@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.cache import COMPACT, DISK, RAW, SQUEEZED, EntryId, Hint, Registry, replay
 from ..plans.lineage import annotations
 from ..plans.predicates import ordered
+from ..session import EngineBuilder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +65,26 @@ def cache_eval_predicate(spark, sf_dir):
     return registry.eval_predicate(id, F.nullif("event_type", F.lit("view")) == "click").groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _cache_sql(name: str, sql: str, oracle: str):
+    """A query through the engine: cold, filling the cache; warm; and when the cache has squeezed what the query allows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = EngineBuilder().with_hydration(False).build(spark)
+        for t in ("orders", "pages"):
+            engine.register_parquet(t, f"{sf_dir}/{t}.parquet")
+        engine.register("feed", spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.parse_json("props").alias("data")))
+        out = engine.sql(sql).withColumn("run", F.lit("cold")).unionByName(engine.sql(sql).withColumn("run", F.lit("warm")))
+        engine.registry.squeeze()
+        return out.unionByName(engine.sql(sql).withColumn("run", F.lit("squeezed")))
+
+    query(f"select q.*, run from ({oracle}) q, (values ('cold'), ('warm'), ('squeezed')) v(run)", name)(run)
+
+
+_cache_sql("cache_sql_date", "select extract(year from o_orderdate) as y, extract(month from o_orderdate) as m, count(*) as n, max(o_totalprice) as top from orders where o_orderstatus = 'F' group by 1, 2", "select year(o_orderdate) as y, month(o_orderdate) as m, count(*) as n, max(o_totalprice) as top from orders where o_orderstatus = 'F' group by 1, 2")
+_cache_sql("cache_sql_substring", "select page_id, url from pages where url like '%ther%' and url not like '%org%'", "select page_id, url from pages where url like '%ther%' and url not like '%org%'")
+_cache_sql("cache_sql_variant", "select event_type, variant_get(data, '$.k', 'bigint') as k, count(*) as n from feed group by 1, 2", "select event_type, (props->>'k')::bigint as k, count(*) as n from events group by 1, 2")
+
+
 def _under_pressure(spark, sf_dir) -> Registry:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     registry = Registry(spark, memory=1000, policy="transcode_squeeze_evict", hydrate=False)

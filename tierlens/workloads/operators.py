@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, strings, variant
 from ..operators import encodings as enc
+from ..operators import squeeze
+from ..plans.lineage import Annotation
 from ..plans.sqlquery import SqlQuery, mean, money, n
 
 SQL = {
@@ -19,7 +24,6 @@ SQL = {
     "filter_not": "select event_id from events where not (event_type = 'view' or value < 5)",
     "filter_string_order": "select page_id, url from pages where url >= 'https://m' and url < 'https://t'",
     "filter_timestamp": "select event_id, ts from events where ts >= $ts '2024-01-10' and ts < $ts '2024-01-12'",
-    "filter_epoch_seconds": "select event_id from events where ts > $ts '2024-01-20 00:00:00'",
     "filter_partition_like": "select o_orderkey from orders where o_orderdate = $ts '1998-10-03'",
     "like_prefix": "select count(*) as n from pages where url like 'https://%'",
     "like_suffix": "select page_id from pages where url like '%top'",
@@ -158,6 +162,11 @@ def regexp_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", strings.regexp_replace_first(url, "th(.)r", r"<\1>").alias("first_only"), strings.regexp_replace_first(url, "^https?://(?:m[.])?([^/]+)/.*$", r"\1").alias("host"))
 
 
+@query("select event_id from events where make_timestamp(event_id * 1000000) > timestamp '1970-01-01 00:20:00.5'")
+def filter_epoch_seconds(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(dates.seconds_compare(F.col("event_id"), ">", datetime(1970, 1, 1, 0, 20, 0, 500_000))).select("event_id")
+
+
 def _props(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("data", F.parse_json("props"))
 
@@ -274,19 +283,46 @@ def enc_clamp_prune(spark, sf_dir):
 
 @query("select event_id, round(value * 100)::bigint as alp from events")
 def enc_float_alp(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", enc.alp_integer(F.col("value"), 2).alias("alp"))
+    """The exponent is searched; all values are exact at two decimals."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", enc.alp_integer(F.col("value"), enc.alp_places(e, "value")).alias("alp"))
 
 
-@query(f"{_FOR} select event_id, off >> (width - {_HALF})::int as bucket from f")
+def _alp(spark, sf_dir):
+    return enc.batched(table(spark, sf_dir, "events").select("event_id", "value", enc.alp_integer(F.col("value"), 2).alias("v")), "event_id", 1024)
+
+
+@query(f"{_QUANT} select event_id, step, least(off // step, buckets - 1) as bucket from q")
 def enc_float_quantize(spark, sf_dir):
-    f = enc.frame_of_reference(_cents(spark, sf_dir), "v")
-    return f.select("event_id", F.expr("shiftright(off, cast(width - greatest(width div 2, 1) as int))").alias("bucket"))
+    return enc.quantize(enc.frame_of_reference(_alp(spark, sf_dir), "v")).select("event_id", "step", "bucket")
 
 
-@query(f"{_QUANT} select event_id, round((ref + least(off // step, buckets - 1) * step) / 100.0::double, 2) as low from q")
+@query("select event_id from events where value > 24.995")
+def enc_float_prune(spark, sf_dir):
+    """The constant lies between two codes; what the buckets can't decide is compared as it is."""
+    base = _alp(spark, sf_dir)
+    squeezed = enc.quantize(enc.frame_of_reference(base, "v"))
+    return enc.filter_squeezed(squeezed, base, "event_id", "value", ">", 24.995, lambda op, k: enc.decide_scaled(op, k, 2)).select("event_id")
+
+
+def _price(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(15,2)").alias("price"))
+    return o.withColumns({"batch": F.expr("o_orderkey div 4096"), "v": enc.decimal_integer(F.col("price"), 2)})
+
+
+@query("""with p as (select o_orderkey, o_orderkey // 4096 as batch, (o_totalprice::decimal(15,2) * 100)::bigint as v from orders), s as (select batch, min(v) as ref, max(v) as top from p group by 1),
+  f as (select *, 1::bigint << greatest(length(bin(top - ref)) // 2, 1)::int as buckets from p join s using (batch)), q as (select *, (top - ref) // buckets + 1 as step from f)
+  select o_orderkey, step, least((v - ref) // step, buckets - 1) as bucket from q""")
 def enc_decimal_quantize(spark, sf_dir):
-    q = enc.quantize(enc.frame_of_reference(_cents(spark, sf_dir), "v"))
-    return q.select("event_id", F.round((F.col("ref") + F.col("bucket") * F.col("step")) / F.lit(100.0), 2).alias("low"))
+    return enc.quantize(enc.frame_of_reference(_price(spark, sf_dir), "v")).select("o_orderkey", "step", "bucket")
+
+
+@query("select o_orderkey from orders where o_totalprice::decimal(15,2) <= 50000.125")
+def enc_decimal_prune(spark, sf_dir):
+    base = _price(spark, sf_dir)
+    squeezed = enc.quantize(enc.frame_of_reference(base, "v"))
+    k = Decimal("50000.125")
+    return enc.filter_squeezed(squeezed, base, "o_orderkey", "price", "<=", k, lambda op, k: enc.decide_scaled(op, k, 2)).select("o_orderkey")
 
 
 @query("select o_orderkey, year(o_orderdate)::bigint as year, month(o_orderdate)::bigint as month, day(o_orderdate)::bigint as day, dayofweek(o_orderdate)::bigint as dow from orders")
@@ -327,7 +363,11 @@ def enc_dictionary(spark, sf_dir):
 
 @query(f"select event_id, event_type, {_K} as k from events")
 def enc_variant_shred(spark, sf_dir):
-    return _props(spark, sf_dir).select("event_id", "event_type", variant.variant_get(F.col("data"), "k", "Int64").alias("k"))
+    """The typed path as a column of its own, and a variant of it alone made again for the query."""
+    base = _props(spark, sf_dir).select("event_id", "event_type", "data")
+    forms = {"data": Annotation("events", "data", "variant", "$.k:bigint")}
+    shredded = squeeze.restore(squeeze.squeeze(base, forms), base, forms)
+    return shredded.select("event_id", "event_type", variant.variant_get(F.col("data"), "k", "Int64").alias("k"))
 
 
 @query("""with r as (select event_id // 1024 as batch, event_id % 1024 as pos, event_type from events),
