@@ -384,7 +384,7 @@ def _pii_by_hand(text):
 
 def test_pii_matches_brute_force(spark):
     """All cards, SSNs and e-mail addresses that a walk over the characters finds are in a span, and those reported are among them."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()
     n = Counter()
     for r in docs:
         hand = _pii_by_hand(r["text"])
