@@ -65,16 +65,16 @@ SQL = {
     "agg_group_alias": f"select {n('extract(year from o_orderdate) - 1990')} as y, count(*) as n from orders group by y",
     "agg_group_literal": "select 1 as one, o_orderstatus, count(*) as n from orders group by 1, o_orderstatus",
     "agg_nested": "select n, count(*) as users from (select user_id, count(*) as n from events group by user_id) t group by n",
-    "distinct": "select distinct event_type, user_id from events order by user_id, event_type limit 50",
+    "distinct": "select distinct event_type, user_id from events order by user_id, event_type",
     "rollup": f"select n_regionkey, n_nationkey, count(*) as n, {money('s_acctbal')} as balance from supplier join nation on s_nationkey = n_nationkey group by rollup (n_regionkey, n_nationkey)",
     "cube": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)",
     "grouping_sets": f"select l_returnflag, l_linestatus, {n('grouping(l_returnflag)')} as g, count(*) as n from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_linestatus), ())",
     # Sorting and limits
     "topk": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10",
     "limit_offset": "select event_id, ts from events order by ts, event_id limit 20 offset 35",
-    "sort_nulls": "select nullif(user_id, 8) as u, event_id from events order by u asc nulls last, event_id limit 40",
-    "sort_nulls_desc": "select nullif(user_id, 8) as u, event_id from events order by u desc nulls first, event_id limit 40",
-    "sort_expression": "select event_id, value from events order by value * -1, event_id limit 15",
+    "sort_nulls": "select nullif(user_id, 8) as u, event_id from events order by u asc nulls last, event_id",
+    "sort_nulls_desc": "select nullif(user_id, 8) as u, event_id from events order by u desc nulls first, event_id",
+    "sort_expression": "select event_id, value from events order by value * -1, event_id",
     # Dates and times
     "date_year": f"select {n('extract(year from o_orderdate)')} as y, count(*) as n from orders group by extract(year from o_orderdate)",
     "date_month": f"select {n('extract(month from o_orderdate)')} as m, count(*) as n from orders group by extract(month from o_orderdate)",
