@@ -163,6 +163,28 @@ def test_nearest_item_in_both_ways(spark):
     assert digest.nearest(docs.limit(0), items.limit(0)).count() == 0
 
 
+def test_search_finds_what_all_pairs_give(spark, monkeypatch):
+    """Blocks of few digests, copies, ties, repeated ids, texts without a digest, null ids and texts."""
+    monkeypatch.setattr(digest, "BLOCK", 7)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()][:120]
+    rows += [(1000 + k, t + " more words") for k, (_, t) in enumerate(rows[:10])] + [(2000, rows[50][1]), (2000, rows[50][1]), (2050, rows[3][1]), (2100, None), (2150, ""), (None, rows[0][1]), (2200, "é" * 9000), (-50, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    coded = [(i, digest.digests(pa.array([t], pa.string()))[0].as_py()) for i, t in rows if i is not None]
+    for bound in (1, 20, 100, 300):
+        want = []
+        for at, (i, g) in enumerate(coded):
+            if i % 10 == 0:
+                others = [(_difference_by_hand(g, h, bound), j, h) for to, (j, h) in enumerate(coded) if to != at and h] if g else []
+                others = [(s, j, h) for s, j, h in others if s < bound]
+                copies = [j for s, j, _ in others if s == 0]
+                lead = {h: min(j for j, x in coded if x == h) for _, _, h in others}
+                pick = (0, max([i, *copies]) if i == min([i, *copies]) else min(copies)) if copies else min(((s, lead[h]) for s, _, h in others), default=(None, None))
+                want.append((i, pick[1], pick[0], len(others) if g else None))
+        got = [tuple(r) for r in digest.search(df, bound, every=10).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert digest.search(df.limit(0)).count() == 0
+
+
 # SentencePiece
 
 

@@ -29,6 +29,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.nearest(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "digest", "nearest_item", "difference")
 
 
+def op2_fingerprints_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.search(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return piece_fst.tokenise(docs, PIECE_MODEL).select("doc_id", "ids", "n_tokens", "round_trip")
@@ -78,11 +82,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_fingerprints, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op6_pii, op7_quality, op8_mixing, op8_mixing_filled, op9_lm_score, op10_html)
+    for f in (op1_language_id, op2_fingerprints, op2_fingerprints_search, op3_sentencepiece, op4_ngram_join, op5_exact_dedup, op6_pii, op7_quality, op8_mixing, op8_mixing_filled, op9_lm_score, op10_html)
 }
 
 ORACLES: dict[str, str] = {
     "op2_fingerprints": digest.oracle(),
+    "op2_fingerprints_search": digest.search_oracle(),
     "op5_exact_dedup": "select min(doc_id) as doc_id, sha256(text) as digest from documents where text is not null group by text",
     "op8_mixing": mixing.ORACLE,
     "op9_lm_score": ctw.oracle(),
