@@ -179,6 +179,33 @@ def test_recall_in_buckets_of_many_groups(spark):
     assert got <= want.keys() and len(got) >= 0.97 * len(want) > 600
 
 
+def _at_the_threshold(groups=300):
+    """Pairs of texts that share 100 words in a row and have up to 49 others: similarity 0.5 and little more, 0.49 in every sixth."""
+    rows = []
+    for g in range(groups):
+        shared = " ".join(f"s{g}x{k}" for k in range(100))
+        a, b = (" ".join(f"{v}{g}x{k}" for k in range(49 - g % 5 if g % 6 else 51)) for v in "ab")
+        rows += [(2 * g, f"{shared} {a}"), (2 * g + 1, f"{shared} {b}")]
+    return rows
+
+
+@pytest.mark.parametrize("params", [{}, {"part_bytes": 500, "broadcast_rows": 0}])  # also with many parts, nothing broadcast
+def test_no_link_at_the_threshold_is_lost(spark, params):
+    rows = _at_the_threshold()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(map(tuple, ngram_join.classes(df, **params).collect())) == Counter(_classes_by_hand(rows))
+
+
+def test_pairs_of_a_task_whatever_is_counted_at_once(monkeypatch):
+    texts = _variants(40)
+    task, side = np.repeat([0, 1], 20), np.tile([0, 1, -1, -1], 10)
+    want = {(i, j) for i, j in _pairs_by_hand(enumerate(texts)) if task[i] == task[j] and (side[i] < 0 or side[i] != side[j])}
+    for counted in (1, 300, ngram_join.COUNTED):
+        monkeypatch.setattr(ngram_join, "COUNTED", counted)
+        i, j, _ = ngram_join.like_pairs(pa.array(texts), task, side, 3, 0.5)
+        assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 50
+
+
 def test_keep_one_leaves_one_of_each_group(spark):
     rows = [(i, t) for i, t in enumerate(_variants(30))] + [(100 + i, f"quite another text number {i} of no group at all " + " ".join(f"x{i}{j}" for j in range(30))) for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -1,21 +1,22 @@
-"""N-gram Jaccard join: the links between like documents, with Bayesian pruning and exact verification.
-
-A document is its set of hashed word n-grams.  The join runs in four steps.
-
-1. One pass computes MinHash values, from them band keys and a sketch of 64
-   bits, once for each text that a task meets.  Within a bucket of equal keys
-   every text is tried against the first and the three before it: an edge
-   stays unless the sketches make it improbable that the similarity reaches
-   the threshold.  Rows of 24 bytes move, no text.
-2. Connected components of that graph, by hooking to the smallest neighbour
-   and pointer jumping, put all that may be alike in one place.  A component
-   of more than ``block`` texts or ``block_bytes`` bytes is cut into blocks and
-   every pair of blocks is a task of its own, so that no task grows with the
-   data and no pair is lost.
-3. Each task holds its texts once.  Pairs that share a band compare their
-   MinHash values step by step; a pair goes as soon as the posterior
-   probability that its Jaccard similarity reaches the threshold falls below
-   ``tolerance`` (uniform prior).  What is left is verified on the full sets.
+"""N-gram Jaccard join: all links between like documents, exactly.
+
+A document is its set of hashed word n-grams.  No step is a guess: what a step
+leaves out can't reach the threshold t.  The join runs in four steps.
+
+1. A text of which fewer than t of the n-grams occur in another text has no
+   partner.  The n-grams of each text that a task meets go out by their
+   hashes, packed, at some five bytes each; what comes back is how many of a
+   text's n-grams others have.
+2. Of the texts left, rarest n-grams first, two at the threshold share one of
+   the first size - ceil(t * size) + 1 (prefix filter).  n-grams that one text
+   has alone come first and lead nowhere, so few are left.  Texts that meet at
+   one are linked in the order of their sizes, unless the sizes are too far
+   apart.  Connected components of these links, by hooking to the smallest
+   neighbour and pointer jumping, put all that may be alike in one place.  A
+   component of more than ``block`` texts or ``block_bytes`` bytes is cut into
+   blocks and every pair of blocks is a task of its own, so that no task grows
+   with the data and no pair is lost.
+3. Each task holds its texts once and counts the n-grams that any two share.
 4. A task returns a row for each of its texts that has links: how many
    documents it is linked with, and the first text that it is connected to
    there.  From these follow the classes; documents join them by digest.  A
@@ -25,31 +26,29 @@ A document is its set of hashed word n-grams.  The join runs in four steps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WHITE, by_bytes, flat, mix64, parts, slices, stored
 
-#: Words of an n-gram; similarity a pair must reach; posterior below which a pair goes.  With three words, texts
-#: of which a tenth of the words differ reach one half, and those that share a passage of half their length don't.
-N, THRESHOLD, TOLERANCE = 3, 0.5, 1e-3
-#: Bands of so many MinHash values: a pair at the threshold shares one with probability 0.92, at 0.6 with 0.999.
-BANDS, ROWS = 80, 5
-STEP, SKETCH = 40, 64
+#: Words of an n-gram; similarity a pair must reach.  With three words, texts of which a tenth of the words differ
+#: reach one half, and those that share a passage of half their length don't.
+N, THRESHOLD = 3, 0.5
+#: MinHash values of :func:`signatures`, and bits of :func:`sketches`: estimates only, on which no pair of the join depends.
+VALUES, SKETCH = 400, 64
+#: Bytes of text whose n-grams are one part of the exchange (there are 32 parts at least, 65,536 at most), and pairs counted at once.
+PART_BYTES, COUNTED = 64 << 20, 2 << 20
 #: Distinct texts, and their bytes, that a task holds of a component (of two blocks, if it is larger).
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
-#: Texts before it in its bucket that a text is tried against, besides the first.
-BEFORE = 3
-#: Texts in components (24 bytes each) and documents to drop (16 bytes) up to this many are broadcast; beyond, documents are shuffled to them.
+#: Texts that may have partners (8 bytes each), texts in components (24 bytes) and documents to drop (16 bytes) up to this many are broadcast; beyond, documents are shuffled to them.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -88,31 +87,23 @@ def shingles(texts: pa.Array, n: int = N, distinct: bool = True) -> tuple[np.nda
     return grams, np.searchsorted(owner, np.arange(count + 1))
 
 
-_SEEDS = np.random.default_rng(20240517).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint32)
+_SEEDS = np.random.default_rng(20240517).integers(0, 2**32, (2, VALUES), dtype=np.uint32)
 
 
 def signatures(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """MinHash values [texts, BANDS * ROWS]; all ones for a text without n-grams."""
+    """MinHash values [texts, VALUES]; all ones for a text without n-grams."""
     n = len(at) - 1
-    out = np.full((n, BANDS * ROWS), 0xFFFFFFFF, np.uint32)
+    out = np.full((n, VALUES), 0xFFFFFFFF, np.uint32)
     there = np.flatnonzero(np.diff(at))
     if not len(there):
         return out
     low = (grams >> np.uint64(32)).astype(np.uint32)
     cuts = at[:-1][there]
-    for k in range(BANDS * ROWS):
+    for k in range(VALUES):
         out[there, k] = np.minimum.reduceat((low ^ _SEEDS[0, k]) * (_SEEDS[1, k] | np.uint32(1)), cuts)
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """Bucket id of each band [texts, BANDS]; bands have different ids for the same values."""
-    value = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(sig), BANDS)).copy()
-    for r in range(ROWS):
-        value = mix64(value + sig[:, r::ROWS].astype(np.uint64)[:, :BANDS])
-    return value
-
-
 def sketches(sig: np.ndarray) -> np.ndarray:
     """One bit of each of the first 64 MinHash values: equal with probability (1 + similarity) / 2."""
     bits = (mix64(sig[:, :SKETCH].astype(np.uint64)) & np.uint64(1)) << np.arange(SKETCH, dtype=np.uint64)
@@ -147,80 +138,102 @@ def least_matches(threshold: float, tolerance: float, seen: int) -> int:
     return seen + 1
 
 
-def like_pairs(texts: pa.Array, task: np.ndarray, side: np.ndarray, n: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, similarity) of the pairs i < j of one task that reach *threshold*; side -1 pairs with all of its task, 0 with 1 only."""
+def like_pairs(texts: pa.Array, task: np.ndarray, side: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of all pairs i < j of one task that reach *threshold*; side -1 pairs with all of its task, 0 with 1 only."""
     held, cuts = [], [np.zeros(1, np.int64)]
     for part in slices(texts):
         g, a = shingles(part, n)
         held.append(g)
         cuts.append(a[1:] + cuts[-1][-1])
-    grams, at = np.concatenate(held), np.concatenate(cuts)
-    sig = signatures(grams, at)
-    full = np.flatnonzero(np.diff(at))
-    keys = band_keys(sig)
-    codes = [np.zeros(0, np.int64)]
-    m = len(texts)
-    for b in range(BANDS):
-        key = mix64(keys[full, b] + mix64(task[full].astype(np.uint64)))
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-        stop = np.append(start[1:], len(ranked))
-        many = stop - start > 1
-        for s, e in zip(start[many], stop[many]):
-            for i, j in _couples(np.sort(full[order[s:e]])):
-                ok = (task[i] == task[j]) & ((side[i] < 0) | (side[i] != side[j]))
-                i, j = i[ok], j[ok]
-                if b:  # pairs are taken at the first band that they share
-                    ok = ~(keys[i, :b] == keys[j, :b]).any(1)
-                    i, j = i[ok], j[ok]
-                if len(i):
-                    codes.append(_pruned(sig, i.astype(np.int64) * m + j, m, threshold, tolerance))
-    code = np.sort(np.concatenate(codes))
-    i, j = code // m, code % m
-    similarity = np.zeros(len(code))
-    _, inverse = np.unique(grams, return_inverse=True)
-    mark = np.zeros(len(grams) and int(inverse.max()) + 1, bool)
-    size = np.diff(at)
-    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-    for s, e in zip(first, np.append(first[1:], len(i))):
-        a = i[s]
-        own = inverse[at[a] : at[a + 1]]
-        mark[own] = True
-        for s2 in range(s, e, 2000):
-            others = j[s2 : min(e, s2 + 2000)]
-            hits = mark[np.concatenate([inverse[at[o] : at[o + 1]] for o in others])]
-            ends = np.cumsum(size[others])
-            both = np.add.reduceat(hits.astype(np.int64), np.concatenate([[0], ends[:-1]]))
-            similarity[s2 : s2 + len(others)] = both / (size[a] + size[others] - both)
-        mark[own] = False
-    ok = similarity >= threshold
-    return i[ok], j[ok], similarity[ok]
-
-
-def _couples(members: np.ndarray, most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i before j) of a bucket, some at a time."""
-    step = max(1, most // len(members))
-    for s in range(0, len(members) - 1, step):
-        rows = np.arange(s, min(s + step, len(members) - 1))
-        times = len(members) - 1 - rows
-        i = np.repeat(rows, times)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + i + 1
-        yield members[i], members[j]
-
-
-def _pruned(sig: np.ndarray, code: np.ndarray, m: int, threshold: float, tolerance: float) -> np.ndarray:
-    """The pairs that stay after each step of MinHash values."""
-    equal = np.zeros(len(code), np.int64)
-    for k in range(0, BANDS * ROWS, STEP):
-        equal += (sig[code // m, k : k + STEP] == sig[code % m, k : k + STEP]).sum(1)
-        stays = equal >= least_matches(threshold, tolerance, min(k + STEP, BANDS * ROWS))
-        code, equal = code[stays], equal[stays]
-    return code
-
-
-def _bands(n: int):
-    """(node, sketch, key) for each band of a text; of texts that a task meets again only the first gives rows."""
+    grams, at = np.concatenate([np.zeros(0, np.uint64), *held]), np.concatenate(cuts)
+    m, size = len(texts), np.diff(at)
+    owner = np.repeat(np.arange(m), size)
+    key = mix64(grams + mix64(task.astype(np.uint64))[owner])
+    order = np.argsort(key, kind="stable")  # the owners of an n-gram in order
+    start, length = _runs(key[order])
+    own = owner[order]
+    after = np.repeat(start + length, length) - np.arange(len(own)) - 1  # how many texts after its own have the n-gram
+    here = np.flatnonzero(after)
+    here = here[np.argsort(own[here], kind="stable")]
+    after = after[here]
+    upto = np.searchsorted(own[here], np.arange(m + 1))
+    found = []
+    step = max(1, COUNTED // max(1, m))
+    for low in range(0, m, step):
+        high = min(m, low + step)
+        base, e = upto[low], upto[high]
+        if base == e:
+            continue
+        both = np.zeros((high - low) * m, np.int64)
+        total = np.cumsum(after[base:e])
+        s, done = base, 0
+        while s < e:
+            stop = max(s + 1, base + int(np.searchsorted(total, done + COUNTED, "right")))
+            times = after[s:stop]
+            other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - here[s:stop] - 1, times)
+            both += np.bincount(np.repeat((own[here[s:stop]] - low) * m, times) + own[other], minlength=len(both))
+            s, done = stop, total[stop - base - 1]
+        cell = np.flatnonzero(both)
+        i, j, both = cell // m + low, cell % m, both[cell]
+        similarity = both / (size[i] + size[j] - both)
+        ok = (similarity >= threshold) & ((side[i] < 0) | (side[i] != side[j]))
+        found.append((i[ok], j[ok], similarity[ok]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values start, and their lengths."""
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(x)))
+
+
+#: Values of some nodes: counts is an array [3, nodes] of the codes that belong to each, its n-grams, and those that its other n-grams clash with.
+PACKED = "part int, nodes binary, counts binary, codes binary"
+
+
+def _pack(part: np.ndarray, node: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """A row for each part; *part* is in order, and so are *codes*, as counts[0] tells."""
+    start, length = _runs(part)
+    ends = np.cumsum(counts[0])
+    cut = np.concatenate([[0], ends])
+    rows: list[tuple] = []
+    for s, e in zip(start.tolist(), (start + length).tolist()):
+        rows.append((int(part[s]), node[s:e].tobytes(), counts[:, s:e].astype(np.uint32).tobytes(), codes[cut[s] : cut[e]].tobytes()))
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 3)], names=["part", "nodes", "counts", "codes"])
+
+
+def _each_part(solve: Callable[[int, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], kind: type):
+    """Reads rows sorted by part and yields what *solve* makes of (part, nodes, counts, codes) of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved() -> pa.RecordBatch:
+            nodes, counts, codes = zip(*held)
+            out = solve(part, np.concatenate(nodes), np.concatenate(counts, axis=1).astype(np.int64), np.concatenate(codes))
+            held.clear()
+            return out
+
+        part, held = -1, []
+        for batch in batches:
+            for k, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != part and held:
+                    yield solved()
+                part = k
+                held.append((np.frombuffer(values[0], np.int64), np.frombuffer(values[1], np.uint32).reshape(3, -1), np.frombuffer(values[2], kind)))
+        if held:
+            yield solved()
+
+    return run
+
+
+def _postings(n: int, bits: int):
+    """The n-grams of each text, 32 bits of them, in the part that the upper bits name; its size in a part from 2**bits on that its node names.
+
+    Of texts that a task meets again only the first gives rows.
+    """
+    parts = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -228,19 +241,121 @@ def _bands(n: int):
             nodes = batch.column(0).to_numpy()
             new = np.array([x not in seen and not seen.add(x) for x in nodes.tolist()], bool)
             nodes, texts = nodes[new], batch.column(1).filter(pa.array(new))
-            start = 0
-            for part in slices(texts):
-                own = nodes[start : start + len(part)]
-                start += len(part)
-                g, a = shingles(part, n, distinct=False)  # repeats don't change a minimum
-                there = np.diff(a) > 0
-                sig = signatures(g, a)[there]
-                columns = np.repeat(own[there], BANDS), np.repeat(sketches(sig).view(np.int64), BANDS), band_keys(sig).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "sketch", "key"])
+            grams, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for some in slices(texts):
+                g, a = shingles(some, n)
+                grams.append(g)
+                sizes.append(np.diff(a))
+            gram, size = np.concatenate(grams), np.concatenate(sizes)
+            owner = np.repeat(np.arange(len(size)), size)
+            part = (gram >> np.uint64(64 - bits)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            part, owner = part[order].astype(np.int64), owner[order]
+            start, length = _runs(part * len(size) + owner)
+            zero = np.zeros_like(length)
+            yield _pack(part[start], nodes[owner[start]], np.stack([length, zero, zero]), gram.astype(np.uint32)[order])
+            there = np.flatnonzero(size)
+            there = there[np.argsort(nodes[there] & (parts - 1), kind="stable")]
+            zero = np.zeros_like(there)
+            yield _pack(parts + (nodes[there] & (parts - 1)), nodes[there], np.stack([zero, size[there], zero]), np.zeros(0, np.uint32))
 
     return run
 
 
+def _common(bits: int, full: bool):
+    """For each text, in the part that its node names, which n-grams of this part other texts have, or only how many.
+
+    Codes are (texts that have it, part, 32 bits), so that they sort by rarity.
+    """
+    parts = 1 << bits
+
+    def solve(part: int, nodes: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        node, first, local = np.unique(nodes, return_index=True, return_inverse=True)
+        if part >= parts:
+            return _pack(np.full(len(node), part - parts), node, counts[:, first], np.zeros(0, np.uint64))
+        key = codes.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= np.repeat(local.astype(np.uint32), counts[0])
+        key.sort()
+        if len(key):
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]  # a text that several tasks have met, or two of its n-grams of the same bits
+        code, own = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        _, length = _runs(code)
+        lost = counts[0][first] - np.bincount(own, minlength=len(node))
+        often = np.repeat(length, length)
+        code, own, often = code[often > 1], own[often > 1], often[often > 1]
+        shared = np.bincount(own, minlength=len(node))
+        order = np.lexsort((np.arange(len(node)), node & (parts - 1)))
+        order = order[(shared[order] > 0) | (lost[order] > 0)]
+        kept = np.zeros(0, np.uint64)
+        if full:
+            place = np.zeros(len(node), np.int64)
+            place[order] = np.arange(len(order))
+            kept = (np.minimum(often, 65535).astype(np.uint64) << np.uint64(48) | np.uint64(part) << np.uint64(32) | code)[np.argsort(place[own], kind="stable")]
+        return _pack(node[order] & (parts - 1), node[order], np.stack([shared[order], np.zeros_like(order), lost[order]]), kept)
+
+    return _each_part(solve, np.uint32)
+
+
+def _least(size: np.ndarray, threshold: float) -> np.ndarray:
+    """The fewest n-grams that a text of *size* shares with one at the threshold."""
+    return np.ceil(threshold * size - 1e-6).astype(np.int64)
+
+
+def _sums(nodes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes once each, the place there of those given, and the sums [3, nodes] of their counts."""
+    node, local = np.unique(nodes, return_inverse=True)
+    return node, local, np.stack([np.bincount(local, c, len(node)).astype(np.int64) for c in counts])
+
+
+def _hopeful(threshold: float):
+    """The nodes that have enough n-grams in common with others, those that clash counted as such."""
+
+    def solve(part: int, nodes: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        node, _, (shared, size, lost) = _sums(nodes, counts)
+        return pa.RecordBatch.from_arrays([pa.array(node[shared + lost >= _least(size, threshold)])], names=["node"])
+
+    return _each_part(solve, np.uint64)
+
+
+def _prefixes(threshold: float):
+    """Of each text the n-grams of its prefix that others have, in the parts of the n-grams, with the text's size."""
+
+    def solve(part: int, nodes: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        node, local, (shared, size, lost) = _sums(nodes, counts)
+        own = np.repeat(local, counts[0])
+        order = np.lexsort((codes, own))
+        codes, own = codes[order], own[order]
+        begin = np.cumsum(shared) - shared
+        most = size - _least(size, threshold) + 1 - (size - lost - shared)  # less those that it has alone
+        kept = np.arange(len(own)) - begin[own] < most[own]
+        codes, own = codes[kept], own[kept]
+        part_of = (codes >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64)
+        order = np.lexsort((own, part_of))
+        codes, own, part_of = codes[order], own[order], part_of[order]
+        start, length = _runs(part_of * max(1, len(node)) + own)
+        return _pack(part_of[start], node[own[start]], np.stack([length, size[own[start]], np.zeros_like(length)]), codes.astype(np.uint32))
+
+    return _each_part(solve, np.uint64)
+
+
+def _meetings(threshold: float):
+    """(a, b): a forest over the texts that meet in a part at an n-gram of their prefixes, and whose sizes allow the threshold."""
+
+    def solve(part: int, nodes: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        own = np.repeat(np.arange(len(nodes)), counts[0])
+        size = counts[1]
+        order = np.lexsort((size[own], codes))
+        codes, own = codes[order], own[order]
+        a, b = own[:-1], own[1:]
+        met = (codes[:-1] == codes[1:]) & (size[a] >= _least(size[b], threshold))
+        root = roots(len(nodes), a[met], b[met])
+        far = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[root[far]]), pa.array(nodes[far])], names=["a", "b"])
+
+    return _each_part(solve, np.uint32)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for edges (a, b): the smallest node that each is connected to.
 
@@ -275,7 +390,7 @@ def roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = after
 
 
-def _solve(n: int, threshold: float, tolerance: float, links: bool):
+def _solve(n: int, threshold: float, links: bool):
     """Reads rows sorted by task and yields its pairs, or its texts' links; small tasks share one call of the kernel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +398,7 @@ def _solve(n: int, threshold: float, tolerance: float, links: bool):
             t = pa.Table.from_batches(tables).combine_chunks()
             col = lambda name: t[name].combine_chunks() if t[name].num_chunks != 1 else t[name].chunk(0)
             task, side, exact = np.concatenate([[0], np.cumsum(np.diff(col("task").to_numpy()) != 0)]), col("side").to_numpy(), col("exact")
-            i, j, s = like_pairs(col("text"), task, side, n, threshold, tolerance)
+            i, j, s = like_pairs(col("text"), task, side, n, threshold)
             if not links:
                 return pa.RecordBatch.from_arrays([exact.take(pa.array(i)), exact.take(pa.array(j)), pa.array(s)], names=["x", "y", "jaccard"])
             copies = col("copies").to_numpy().astype(float)
@@ -320,31 +435,34 @@ class Join:
 
     n: int = N
     threshold: float = THRESHOLD
-    tolerance: float = TOLERANCE
     block: int = BLOCK
     block_bytes: int = BLOCK_BYTES
+    part_bytes: int = PART_BYTES
     broadcast_rows: int = BROADCAST_ROWS
 
     def small(self, df: DataFrame) -> DataFrame:
         """*df*, broadcast if its rows are few enough."""
         return F.broadcast(df) if df.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows else df
 
-    def edges(self, texts: DataFrame) -> DataFrame:
-        """(a, b) of nodes that share a bucket and may be alike by their sketches, from (node, text)."""
-        rows = by_bytes(texts).mapInArrow(_bands(self.n), "node bigint, sketch bigint, key bigint")
-        bucket = W.partitionBy("key").orderBy("node")
-        me = F.struct("node", "sketch")
-        most = SKETCH - least_bits(self.threshold, self.tolerance)
-        others = {"o0": F.first(me).over(bucket)} | {f"o{k}": F.lag(me, k).over(bucket) for k in range(1, BEFORE + 1)}
-        alike = lambda o: (F.col("node") != F.col(f"{o}.node")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col(f"{o}.sketch"))) <= most)
-        tried = rows.select("node", "sketch", *[c.alias(o) for o, c in others.items()])
-        ends = F.array(*[F.when(alike(o), F.col(f"{o}.node")) for o in others])
-        some = reduce(Column.__or__, [alike(o) for o in others])
-        return tried.where(some).select(F.col("node").alias("a"), F.explode(ends).alias("b")).where("b is not null").distinct()
+    def edges(self, texts: DataFrame, keyed: DataFrame) -> DataFrame:
+        """(a, b) of nodes, by which any two that reach the threshold are connected, from (node, text)."""
+        total = keyed.agg(F.sum("size")).first()[0] or 0
+        bits = min(16, max(5, (total // self.part_bytes).bit_length()))
+
+        def by_part(rows: DataFrame) -> DataFrame:
+            return by_bytes(rows).repartition("part").sortWithinPartitions("part")
+
+        first = by_bytes(texts).mapInArrow(_postings(self.n, bits), PACKED)
+        counted = by_part(first).mapInArrow(_common(bits, False), PACKED)
+        hopeful = stored(by_part(counted).mapInArrow(_hopeful(self.threshold), "node bigint"), "hopeful")
+        again = by_bytes(texts.join(self.small(hopeful), "node", "left_semi")).mapInArrow(_postings(self.n, bits), PACKED)
+        shared = by_part(again).mapInArrow(_common(bits, True), PACKED)
+        prefixes = by_part(shared).mapInArrow(_prefixes(self.threshold), PACKED)
+        return by_part(prefixes).mapInArrow(_meetings(self.threshold), "a bigint, b bigint")
 
     def members(self, texts: DataFrame, keyed: DataFrame) -> DataFrame:
-        """(task, side, exact, copies, text): the distinct texts that share a bucket with another, each once per task."""
-        labels = components(self.edges(texts.select("node", "text")))
+        """(task, side, exact, copies, text): the distinct texts that may have a partner, each once per task."""
+        labels = components(self.edges(texts.select("node", "text"), keyed))
         held = keyed.join(self.small(labels), "node").groupBy("label", "node").agg(F.max("size").alias("size"))
         sizes = held.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / self.block), F.ceil(F.sum("size") / self.block_bytes)).cast("long").alias("blocks"))
         placed = stored(labels.join(sizes, "label").select("node", "label", "blocks"), "placed")
@@ -358,7 +476,7 @@ class Join:
 
     def solved(self, texts: DataFrame, keyed: DataFrame, links: bool) -> DataFrame:
         rows = self.members(texts, keyed).repartition("task").sortWithinPartitions("task")
-        return rows.mapInArrow(_solve(self.n, self.threshold, self.tolerance, links), "exact string, links bigint, root string, whole boolean" if links else "x string, y string, jaccard double")
+        return rows.mapInArrow(_solve(self.n, self.threshold, links), "exact string, links bigint, root string, whole boolean" if links else "x string, y string, jaccard double")
 
 
 #: Side of the texts of a component that is one task.
@@ -409,8 +527,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **param
     own without links; of ids that are null the class is null where no linked
     row has an id.  Rows repeated in the input are rows of their own, linked
     with each other.  Ties don't arise, very long texts take part in whole.
-    The search finds a link at the threshold with probability 0.92, higher
-    ones more surely; what it counts is exact.
+    All links are found, but for n-grams or texts of equal 64-bit hashes.
     """
     keyed, facts = _facts(docs, doc_id, text, Join(**params))
     return keyed.join(facts, "exact", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
