@@ -500,6 +500,14 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert len(got.keys() & want.keys()) > 0.97 * len(want) and all(got[i] == want[i] for i in got.keys() & want.keys())
 
 
+def test_pipeline_keeps_one_of_each_pair_at_the_threshold(spark):
+    import corpus_pipeline
+
+    rows = _at_the_threshold()
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c, _ in _classes_by_hand(rows)})
+
+
 def test_pipeline_of_odd_rows(spark):
     import corpus_pipeline
 
