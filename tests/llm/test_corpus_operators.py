@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -206,6 +207,40 @@ def test_pairs_of_a_task_whatever_is_counted_at_once(monkeypatch):
         assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) > 50
 
 
+def _peak(run):
+    """Bytes that *run* takes at most, besides what is there before."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_the_kernels():
+    """A worker's share of a small executor: per n-gram of a part, of a batch and of a task, and what is left after it."""
+    rng = np.random.default_rng(3)
+    codes, nodes = rng.integers(0, 2**32, 1_000_000, dtype=np.uint32), np.arange(1000)
+    counts = np.stack([np.full(1000, 1000), np.zeros(1000, int), np.zeros(1000, int)])
+    part = ngram_join._pack(np.zeros(1000, int), nodes, counts, codes)
+    assert _peak(lambda: list(ngram_join._common(5, True)(iter([part])))) < 45 * len(codes)
+    words = 250_000
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10**6, words // 500)) for _ in range(500)] * 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], names=["node", "text"])
+    assert _peak(lambda: list(ngram_join._postings(3, 5)(iter([batch])))) < 47 * 4 * words
+    few = texts.slice(0, 1000)
+    assert _peak(lambda: ngram_join.like_pairs(few, np.zeros(1000, int), np.full(1000, -1), 3, 0.5)) < 95 * 2 * words
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d", "a b c d"])], names=["node", "text"])
+    rows = list(ngram_join._postings(3, 5)(iter([batch])))
+    list(ngram_join._common(5, False)(iter(rows)))
+    assert len(calls) == 2
+
+
 def test_keep_one_leaves_one_of_each_group(spark):
     rows = [(i, t) for i, t in enumerate(_variants(30))] + [(100 + i, f"quite another text number {i} of no group at all " + " ".join(f"x{i}{j}" for j in range(30))) for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

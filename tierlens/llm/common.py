@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 8 << 20
 _LOCAL: dict[str, str] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -59,6 +61,23 @@ def by_bytes(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns what is free to the system: a worker outlives its tasks, and its allocators keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """*run*, which gives back its memory when a task is done."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return all_of
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and offsets (n + 1); null counts as empty."""
     if texts.null_count:

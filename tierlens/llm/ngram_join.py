@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, by_bytes, flat, mix64, parts, slices, stored
+from .common import WHITE, by_bytes, flat, frugal, mix64, parts, slices, stored
 
 #: Words of an n-gram; similarity a pair must reach.  With three words, texts of which a tenth of the words differ
 #: reach one half, and those that share a passage of half their length don't.
@@ -46,6 +46,8 @@ N, THRESHOLD = 3, 0.5
 VALUES, SKETCH = 400, 64
 #: Bytes of text whose n-grams are one part of the exchange (there are 32 parts at least, 65,536 at most), and pairs counted at once.
 PART_BYTES, COUNTED = 64 << 20, 2 << 20
+#: Bytes of text whose n-grams are packed at once, and n-grams counted at once.
+PACKED_BYTES, AT_ONCE = 2 << 20, 1 << 20
 #: Distinct texts, and their bytes, that a task holds of a component (of two blocks, if it is larger).
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Texts that may have partners (8 bytes each), texts in components (24 bytes) and documents to drop (16 bytes) up to this many are broadcast; beyond, documents are shuffled to them.
@@ -140,18 +142,22 @@ def least_matches(threshold: float, tolerance: float, seen: int) -> int:
 
 def like_pairs(texts: pa.Array, task: np.ndarray, side: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, similarity) of all pairs i < j of one task that reach *threshold*; side -1 pairs with all of its task, 0 with 1 only."""
-    held, cuts = [], [np.zeros(1, np.int64)]
+    m, salt = len(texts), mix64(task.astype(np.uint64))
+    keys, sizes, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     for part in slices(texts):
         g, a = shingles(part, n)
-        held.append(g)
-        cuts.append(a[1:] + cuts[-1][-1])
-    grams, at = np.concatenate([np.zeros(0, np.uint64), *held]), np.concatenate(cuts)
-    m, size = len(texts), np.diff(at)
-    owner = np.repeat(np.arange(m), size)
-    key = mix64(grams + mix64(task.astype(np.uint64))[owner])
+        sizes.append(np.diff(a))
+        keys.append(mix64(g + np.repeat(salt[done : done + len(part)], sizes[-1])))
+        done += len(part)
+    key, size = np.concatenate(keys), np.concatenate(sizes)
+    keys.clear()
+    kind = np.int32 if max(len(key), COUNTED, m) < 1 << 31 else np.int64
     order = np.argsort(key, kind="stable")  # the owners of an n-gram in order
-    start, length = _runs(key[order])
-    own = owner[order]
+    key = key[order]
+    shared = _shared(key)
+    key, own = key[shared], np.repeat(np.arange(m, dtype=kind), size)[order[shared]]
+    del order, shared
+    start, length = _runs(key)
     after = np.repeat(start + length, length) - np.arange(len(own)) - 1  # how many texts after its own have the n-gram
     here = np.flatnonzero(after)
     here = here[np.argsort(own[here], kind="stable")]
@@ -170,8 +176,11 @@ def like_pairs(texts: pa.Array, task: np.ndarray, side: np.ndarray, n: int, thre
         while s < e:
             stop = max(s + 1, base + int(np.searchsorted(total, done + COUNTED, "right")))
             times = after[s:stop]
-            other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - here[s:stop] - 1, times)
-            both += np.bincount(np.repeat((own[here[s:stop]] - low) * m, times) + own[other], minlength=len(both))
+            cell = np.arange(times.sum(), dtype=kind)
+            cell -= np.repeat((np.cumsum(times) - times - here[s:stop] - 1).astype(kind), times)
+            cell = own[cell]
+            cell += np.repeat((own[here[s:stop]] - low) * m, times).astype(kind, copy=False)
+            both += np.bincount(cell, minlength=len(both))
             s, done = stop, total[stop - base - 1]
         cell = np.flatnonzero(both)
         i, j, both = cell // m + low, cell % m, both[cell]
@@ -189,6 +198,14 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(x)))
 
 
+def _shared(x: np.ndarray) -> np.ndarray:
+    """Which of the sorted values occur twice at least."""
+    out = np.zeros(len(x), bool)
+    out[1:] = x[1:] == x[:-1]
+    out[:-1] |= out[1:]
+    return out
+
+
 #: Values of some nodes: counts is an array [3, nodes] of the codes that belong to each, its n-grams, and those that its other n-grams clash with.
 PACKED = "part int, nodes binary, counts binary, codes binary"
 
@@ -210,10 +227,9 @@ def _each_part(solve: Callable[[int, np.ndarray, np.ndarray, np.ndarray], pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved() -> pa.RecordBatch:
-            nodes, counts, codes = zip(*held)
-            out = solve(part, np.concatenate(nodes), np.concatenate(counts, axis=1).astype(np.int64), np.concatenate(codes))
+            nodes, counts, codes = (np.concatenate(x, axis=-1) for x in zip(*held))
             held.clear()
-            return out
+            return solve(part, nodes, counts.astype(np.int64), codes)
 
         part, held = -1, []
         for batch in batches:
@@ -225,7 +241,7 @@ def _each_part(solve: Callable[[int, np.ndarray, np.ndarray, np.ndarray], pa.Rec
         if held:
             yield solved()
 
-    return run
+    return frugal(run)
 
 
 def _postings(n: int, bits: int):
@@ -235,31 +251,37 @@ def _postings(n: int, bits: int):
     """
     parts = 1 << bits
 
+    def rows(nodes: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        grams, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for some in slices(texts):
+            g, a = shingles(some, n)
+            grams.append(g)
+            sizes.append(np.diff(a))
+        gram, size = np.concatenate(grams), np.concatenate(sizes)
+        grams.clear()
+        owner = np.repeat(np.arange(len(size)), size)
+        part = (gram >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        part, owner = part[order].astype(np.int64), owner[order]
+        start, length = _runs(part * len(size) + owner)
+        zero = np.zeros_like(length)
+        yield _pack(part[start], nodes[owner[start]], np.stack([length, zero, zero]), gram.astype(np.uint32)[order])
+        there = np.flatnonzero(size)
+        there = there[np.argsort(nodes[there] & (parts - 1), kind="stable")]
+        zero = np.zeros_like(there)
+        yield _pack(parts + (nodes[there] & (parts - 1)), nodes[there], np.stack([zero, size[there], zero]), np.zeros(0, np.uint32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            new = np.array([x not in seen and not seen.add(x) for x in nodes.tolist()], bool)
-            nodes, texts = nodes[new], batch.column(1).filter(pa.array(new))
-            grams, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for some in slices(texts):
-                g, a = shingles(some, n)
-                grams.append(g)
-                sizes.append(np.diff(a))
-            gram, size = np.concatenate(grams), np.concatenate(sizes)
-            owner = np.repeat(np.arange(len(size)), size)
-            part = (gram >> np.uint64(64 - bits)).astype(np.uint16)
-            order = np.argsort(part, kind="stable")
-            part, owner = part[order].astype(np.int64), owner[order]
-            start, length = _runs(part * len(size) + owner)
-            zero = np.zeros_like(length)
-            yield _pack(part[start], nodes[owner[start]], np.stack([length, zero, zero]), gram.astype(np.uint32)[order])
-            there = np.flatnonzero(size)
-            there = there[np.argsort(nodes[there] & (parts - 1), kind="stable")]
-            zero = np.zeros_like(there)
-            yield _pack(parts + (nodes[there] & (parts - 1)), nodes[there], np.stack([zero, size[there], zero]), np.zeros(0, np.uint32))
-
-    return run
+            nodes, done = batch.column(0).to_numpy(), 0
+            for texts in slices(batch.column(1), PACKED_BYTES):
+                own = nodes[done : done + len(texts)]
+                done += len(texts)
+                new = np.array([x not in seen and not seen.add(x) for x in own.tolist()], bool)
+                yield from rows(own[new], texts.filter(pa.array(new)))
+
+    return frugal(run)
 
 
 def _common(bits: int, full: bool):
@@ -278,12 +300,19 @@ def _common(bits: int, full: bool):
         key |= np.repeat(local.astype(np.uint32), counts[0])
         key.sort()
         if len(key):
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])]  # a text that several tasks have met, or two of its n-grams of the same bits
-        code, own = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            if not new.all():
+                key = key[new]  # less a text that several tasks have met, or two of its n-grams of the same bits
+            del new
+        lost = counts[0][first]
+        for s in range(0, len(key), AT_ONCE):
+            lost = lost - np.bincount((key[s : s + AT_ONCE] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(node))
+        code = (key >> np.uint64(32)).astype(np.uint32)
+        several = _shared(code)
+        code, own = code[several], (key[several] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del key, several
         _, length = _runs(code)
-        lost = counts[0][first] - np.bincount(own, minlength=len(node))
         often = np.repeat(length, length)
-        code, own, often = code[often > 1], own[often > 1], often[often > 1]
         shared = np.bincount(own, minlength=len(node))
         order = np.lexsort((np.arange(len(node)), node & (parts - 1)))
         order = order[(shared[order] > 0) | (lost[order] > 0)]
@@ -426,7 +455,7 @@ def _solve(n: int, threshold: float, links: bool):
         if held:
             yield solve(held)
 
-    return run
+    return frugal(run)
 
 
 @dataclass(frozen=True)

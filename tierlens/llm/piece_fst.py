@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fresh, slices
+from .common import by_bytes, fresh, give_back, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -412,6 +412,7 @@ def encode(text: Column, path: str) -> Column:
                 ok.append(fine)
         finally:
             gc.enable()
+            give_back()
         n = np.concatenate(sizes)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
         mask = pa.array(~np.array(texts.is_valid(), bool)) if texts.null_count else None
