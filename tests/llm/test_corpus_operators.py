@@ -253,6 +253,34 @@ def test_components(spark):
     assert labels == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100, 200: 200}
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_few_edges_are_labelled_by_one_task(spark, monkeypatch, kind):
+    """Two tables are written, however far apart nodes are; more edges go in rounds, to the same labels."""
+    rng, written = random.Random(5), []
+    monkeypatch.setattr(ngram_join, "stored", lambda df, purpose: written.append(purpose) or common.stored(df, purpose))
+    name = (lambda x: f"n{x:03d}") if kind == "string" else int
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 440)] + [(7, 7), (8, 9), (9, 8), (8, 9)]
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")
+    label = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    want = sorted((name(x), name(y)) for x, y in label.items())
+    assert sorted(map(tuple, ngram_join.components(df).collect())) == want
+    assert written == ["edges", "labels"]
+    assert sorted(map(tuple, ngram_join.components(df, alone=3).collect())) == want
+    assert len(written) > 6
+    assert ngram_join.components(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("params", [{}, {"block": 7}])
+def test_classes_whatever_edges_a_task_takes(spark, params):
+    rows = [(i, t) for i, t in enumerate(_variants(30))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for alone in (0, ngram_join.ALONE):
+        assert Counter(map(tuple, ngram_join.classes(df, alone=alone, **params).collect())) == Counter(_classes_by_hand(rows))
+
+
 # Exact dedup
 
 

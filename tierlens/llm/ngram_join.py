@@ -52,6 +52,8 @@ PACKED_BYTES, AT_ONCE = 2 << 20, 1 << 20
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Texts that may have partners (8 bytes each), texts in components (24 bytes) and documents to drop (16 bytes) up to this many are broadcast; beyond, documents are shuffled to them.
 BROADCAST_ROWS = 2_000_000
+#: Different edges up to this many are labelled by one task; beyond, in rounds over all executors.
+ALONE = 500_000
 
 
 def shingles(texts: pa.Array, n: int = N, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -385,14 +387,35 @@ def _meetings(threshold: float):
     return _each_part(solve, np.uint32)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all edges (a, b) of the task."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    edges = pa.Table.from_batches(held)
+    held.clear()
+    node = pc.unique(pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks]))
+    node = node.take(pc.array_sort_indices(node))
+    i, j = (pc.index_in(edges[c], node).to_numpy() for c in "ab")
+    del edges
+    label = roots(len(node), i, j)
+    for s in range(0, len(node), 1 << 16):
+        yield pa.RecordBatch.from_arrays([node.slice(s, 1 << 16), node.take(pa.array(label[s : s + (1 << 16)]))], names=["node", "label"])
+
+
+def components(edges: DataFrame, alone: int = ALONE) -> DataFrame:
     """(node, label) for edges (a, b): the smallest node that each is connected to.
 
-    Every round takes the smallest label among a node and its neighbours, then
-    the label's own label; rounds double the reach, and what they read is the
-    written table of the round before.  Labels only fall, so the rounds end.
+    Up to *alone* different edges go to one task.  Of more, every round takes
+    the smallest label among a node and its neighbours, then the label's own
+    label; rounds double the reach, and what they read is the written table of
+    the round before.  Labels only fall, so the rounds end.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    once = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if once.count() <= alone:
+        kind = once.schema["a"].dataType.simpleString()
+        return stored(once.coalesce(1).mapInArrow(frugal(_labelled), f"node {kind}, label {kind}"), "labels")
+    both = stored(once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -468,6 +491,7 @@ class Join:
     block_bytes: int = BLOCK_BYTES
     part_bytes: int = PART_BYTES
     broadcast_rows: int = BROADCAST_ROWS
+    alone: int = ALONE
 
     def small(self, df: DataFrame) -> DataFrame:
         """*df*, broadcast if its rows are few enough."""
@@ -491,7 +515,7 @@ class Join:
 
     def members(self, texts: DataFrame, keyed: DataFrame) -> DataFrame:
         """(task, side, exact, copies, text): the distinct texts that may have a partner, each once per task."""
-        labels = components(self.edges(texts.select("node", "text"), keyed))
+        labels = components(self.edges(texts.select("node", "text"), keyed), self.alone)
         held = keyed.join(self.small(labels), "node").groupBy("label", "node").agg(F.max("size").alias("size"))
         sizes = held.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / self.block), F.ceil(F.sum("size") / self.block_bytes)).cast("long").alias("blocks"))
         placed = stored(labels.join(sizes, "label").select("node", "label", "blocks"), "placed")
@@ -539,7 +563,7 @@ def _facts(docs: DataFrame, doc_id: str, text: str, join: Join) -> tuple[DataFra
     labels = found.where("whole").select("exact", F.col("root").alias("label"))
     split = found.where("not whole").select(F.col("exact").alias("a"), F.col("root").alias("b"))
     if not split.isEmpty():
-        labels = labels.unionByName(components(split).select(F.col("node").alias("exact"), "label"))
+        labels = labels.unionByName(components(split, join.alone).select(F.col("node").alias("exact"), "label"))
     links = found.groupBy("exact").agg(F.sum("links").alias("links"))
     each = keyed.where("exact is not null").groupBy("exact").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     each = each.join(labels, "exact", "left").join(links, "exact", "left").where("copies > 1 or label is not null")
