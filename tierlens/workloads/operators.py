@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, strings, variant
 from ..operators import encodings as enc
 from ..operators import squeeze
+from ..operators.membership import not_in
 from ..plans.lineage import Annotation
 from ..plans.sqlquery import SqlQuery, mean, money, n
 
@@ -120,6 +121,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(SQL["join_not_in_null"])
+def join_not_in_null(spark, sf_dir):
+    taken = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.nullif("l_suppkey", F.lit(3)))
+    return not_in(table(spark, sf_dir, "supplier"), "s_suppkey", taken, "free").where("free or s_suppkey = 5").select("s_suppkey")
+
+
 @query("select event_id, user_id from events where user_id = 43")
 def scan_user_schema(spark, sf_dir):
     return spark.read.schema("event_id bigint, user_id bigint").parquet(f"{sf_dir}/events.parquet").where("user_id = 43")
